@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup
+from quern.llm import decontamination, exact_dedup, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
@@ -33,11 +37,32 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_minhash": op3_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_minhash": r"""
+        with recursive w as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+        s as (
+            select distinct doc_id, shingle from (
+                select doc_id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as shingle
+                from w where len(words) > 1
+                union all select doc_id, words[1] from w where len(words) = 1)),
+        n as (select doc_id, count(*) as n from s group by 1),
+        meet as (
+            select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+        link as (
+            select a, b from meet join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+        edge as (select a, b from link union all select b, a from link),
+        reach(doc_id, other) as (
+            select doc_id, doc_id from documents
+            union select r.doc_id, e.b from reach r join edge e on e.a = r.other)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.component_id = d.doc_id as kept
+        from documents d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) c using (doc_id)""",
     "op5_exact_dedup": r"""
         with t as (
             select doc_id, length(coalesce(text, '')) as points,
