@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, minhash
+from quern.llm import decontamination, exact_dedup, minhash, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=2)
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), kind="byte", end_id=2)
+    return read.select("doc_id", "start", F.octet_length("ids").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")).withColumn("n_tokens", F.expr("n_tokens div 4"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
@@ -36,9 +48,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), kind="word", end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     "op3_minhash": op3_minhash,
+    "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
 }
 
