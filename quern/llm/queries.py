@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, minhash, packing, token_files
+from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(divisor: int):
+    """crc32 of the id as text, modulo the divisor."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, _table(spark, sf_dir, "documents"), _remainder(3) != 1)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=2)
 
@@ -53,12 +62,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), training=_remainder(5) != 0)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "text_score", "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op3_minhash": op3_minhash,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {
