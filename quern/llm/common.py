@@ -98,17 +98,22 @@ def bit_filter(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     )
 
 
-def passing(rows: DataFrame, key: Column, bits: int, bitmaps: DataFrame) -> DataFrame:
-    """The rows whose key may be in the filter: all that are, and few others.
+def flagged(rows: DataFrame, name: str, key: Column, bits: int, bitmaps: DataFrame) -> DataFrame:
+    """`rows` with a boolean column: whether the key may be in the filter.
 
     The bitmaps take at most bits / 8 bytes, so they are broadcast.
     """
     at = bit_of(key, bits)
     place = rows.withColumn("_part", F.floor(at / _BITMAP_BITS) + 1).withColumn("_at", at % _BITMAP_BITS)
-    joined = place.join(F.broadcast(bitmaps.select(F.col("part").alias("_part"), F.col("bitmap").alias("_bitmap"))), "_part")
+    small = F.broadcast(bitmaps.select(F.col("part").alias("_part"), F.col("bitmap").alias("_bitmap")))
     byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftleft(1, cast(_at % 8 as int))")
-    return joined.where(byte.bitwiseAND(hit) != 0).drop("_part", "_at", "_bitmap")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0, F.lit(False))
+    return place.join(small, "_part", "left").withColumn(name, hit).drop("_part", "_at", "_bitmap")
+
+
+def passing(rows: DataFrame, key: Column, bits: int, bitmaps: DataFrame) -> DataFrame:
+    """The rows whose key may be in the filter: all that are, and few others."""
+    return flagged(rows, "_may", key, bits, bitmaps).where("_may").drop("_may")
 
 
 def bits_to_numpy(bitmaps: DataFrame, bits: int) -> np.ndarray:

@@ -11,14 +11,14 @@ Everything is DataFrame work: no row leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bit_filter, filter_bits, passing
+from quern.llm.common import Scratch, bit_filter, filter_bits, flagged, passing
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
-# Rows of one group that are compared with one copy of the text that stays.
-ROWS_A_COPY = 512
+# A group of more rows than this is dealt out over PARTS tasks.
+LARGE_GROUP, PARTS = 512, 256
 
 
 def normalised(text: Column) -> Column:
@@ -74,12 +74,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     index = DigestIndex(scratch)
     run = index.flush(keyed.select("digest", "points", "doc_id"))
     merged = index.compact()
-    hits = merged.where("rows > 1")
-    wrong = scratch.table(_unequal(keyed, hits), "unequal")
+    wrong = _several_texts(scratch, keyed, merged)
 
     found = run.join(merged, "digest")
     if not wrong.isEmpty():  # two texts with one SHA-256
-        found = _split(found, wrong)
+        found = found.join(wrong, "digest", "left_anti").select("digest", "doc_id", "rows", "keep_id").union(_by_text(keyed, wrong))
     return found.select(
         "doc_id",
         "keep_id",
@@ -89,36 +88,33 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     )
 
 
-def _unequal(keyed: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows whose text differs from that of the row that stays, in spite of one digest.
+def _several_texts(scratch: Scratch, keyed: DataFrame, merged: DataFrame) -> DataFrame:
+    """The digests whose rows don't all have one text, found by comparing bytes.
 
     Only rows that pass a bit filter over the digests of several rows carry
-    their text through a shuffle.  A group is dealt out over one task for each
-    ROWS_A_COPY of its rows, each with its own copy of the text that stays.
+    their text through a shuffle, once.  Each row is compared with the one
+    before it under its digest; a large group is dealt out over PARTS tasks,
+    and then the first row of each part is compared with that of the next.
     """
-    word = F.xxhash64("digest")
-    bits = filter_bits(hits.count())
-    maybe = passing(keyed, word, bits, bit_filter(hits, word, bits))
-    members = maybe.join(hits, "digest").withColumn("copies", F.ceil(F.col("rows") / ROWS_A_COPY).cast("int"))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.col("copies")).cast("int"))
-    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
-    stays = stays.select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    return members.join(stays, ["digest", "salt"]).where("norm <> kept_norm").select("digest", "doc_id", "points", "norm")
-
-
-def _split(found: DataFrame, wrong: DataFrame) -> DataFrame:
-    """Take rows with a wrong hit out of their group and group them by their whole text."""
-    own = wrong.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("own_rows"), F.min(_rank()).alias("best"))
-    own = wrong.join(own, ["digest", "norm"]).select("digest", "doc_id", "points", "own_rows", F.col("best.doc_id").alias("own_keep")).distinct()
-    less = wrong.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-    same = found["digest"].eqNullSafe(own["digest"]) & found["doc_id"].eqNullSafe(own["doc_id"]) & (found["points"] == own["points"])
-    out = found.join(own, same, "left").drop(own["digest"]).drop(own["doc_id"]).drop(own["points"]).join(less, "digest", "left")
-    return out.select(
-        "digest",
-        "doc_id",
-        F.coalesce("own_keep", "keep_id").alias("keep_id"),
-        F.coalesce(F.col("own_rows"), F.col("rows") - F.coalesce(F.col("less"), F.lit(0))).alias("rows"),
-    )
+    hits = merged.where("rows > 1")
+    word, bits = F.xxhash64("digest"), filter_bits(hits.count())
+    rows = passing(keyed, word, bits, bit_filter(hits, word, bits))
+    rows = flagged(rows, "large", word, bits, bit_filter(merged.where(F.col("rows") > LARGE_GROUP), word, bits))
+    rows = rows.withColumn("part", F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(0))
+    before = F.lag("norm").over(Window.partitionBy("digest", "part").orderBy("doc_id"))
+    seen = rows.select("digest", "norm", "large", before.alias("before")).withColumn("differs", F.col("before") != F.col("norm"))
+    seen = seen.where(F.col("differs") | (F.col("large") & F.col("before").isNull())).select("digest", "norm", "before", "differs")
+    seen = scratch.table(seen, "compared")
+    before = F.lag("norm").over(Window.partitionBy("digest").orderBy("norm"))
+    heads = seen.where("before is null").select("digest", "norm", before.alias("before")).where("before <> norm")
+    return scratch.table(seen.where("differs").select("digest").union(heads.select("digest")).distinct(), "several")
+
+
+def _by_text(keyed: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, doc_id, rows, keep_id) of the rows with these digests, grouped by their whole text."""
+    rows = keyed.join(digests, "digest").select("digest", "norm", "points", "doc_id")
+    own = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"), F.min(_rank()).alias("best"))
+    return rows.join(own, ["digest", "norm"]).select("digest", "doc_id", "rows", F.col("best.doc_id").alias("keep_id"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
