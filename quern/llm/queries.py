@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, token_files
+from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=_remainder(5) == 0)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), kind="word", end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_minhash": op3_minhash,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
