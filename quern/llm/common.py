@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ class Scratch:
     """Tables of one run of an operator, written as Parquet in the shared folder.
 
     They cut lineage and outlive lost executors.  A result may still read them,
-    so they stay until `release` or the end of the process.
+    so they stay until the end of the process, or until whoever `owned` the run
+    releases them.
     """
 
     open: list[Scratch] = []
+    owner: str | None = None
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.owner = spark, Scratch.owner
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         Scratch.open.append(self)
 
@@ -56,27 +59,35 @@ class Scratch:
             _delete(self.spark, f"{self.path}/{name}")
 
     def close(self) -> None:
+        Scratch.open.remove(self)
         _delete(self.spark, self.path)
 
 
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Runs in this block belong to `owner`; what it owned before, and has written by now, is deleted first."""
+    for scratch in [s for s in Scratch.open if s.owner == owner]:
+        scratch.close()
+    Scratch.owner = owner
+    try:
+        yield
+    finally:
+        Scratch.owner = None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, context = spark._jvm, spark.sparkContext._jsc
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
 
 
-def release() -> None:
-    """Delete the scratch tables of all runs so far; their results must have been written."""
-    while Scratch.open:
-        Scratch.open.pop().close()
-
-
 @atexit.register
-def _release_at_exit() -> None:
-    try:
-        release()
-    except Exception:  # noqa: BLE001 - the JVM may have gone already
-        Scratch.open.clear()
+def _close_all() -> None:
+    for scratch in list(Scratch.open):
+        try:
+            scratch.close()
+        except Exception:  # noqa: BLE001 - the JVM may have gone already
+            return
 
 
 def filter_bits(n_keys: int) -> int:
@@ -116,6 +127,13 @@ def passing(rows: DataFrame, key: Column, bits: int, bitmaps: DataFrame) -> Data
     return flagged(rows, "_may", key, bits, bitmaps).where("_may").drop("_may")
 
 
+def parted(rows: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among `keys`, rows whose key isn't): only the first need a join, and so a shuffle."""
+    bits = filter_bits(keys.count())
+    both = flagged(rows, "_may", key, bits, bit_filter(keys, keys_key, bits))
+    return both.where("_may").drop("_may"), both.where("not _may").drop("_may")
+
+
 def bits_to_numpy(bitmaps: DataFrame, bits: int) -> np.ndarray:
     """The filter as bytes on the driver: at most MAX_FILTER_BITS / 8 of them."""
     out = np.zeros(bits // 8, dtype=np.uint8)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, token_files, toxicity
+import corpus_pipeline
+from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, suffix_dedup, token_files, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,19 +26,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, _table(spark, sf_dir, "documents"), _remainder(3) != 1)
 
 
-def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=2)
-
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
 
-def tokenizer(name: str) -> str:
-    """The path of a public tokenizer's file."""
-    import public_tokenizers
 
-    return public_tokenizers.path(name)
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=2)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = token_files.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), kind="byte", end_id=2)
+    read = token_files.token_files(spark, _table(spark, sf_dir, "documents"), tokens.public("byte_bpe_50k.json"), kind="byte", end_id=2)
     return read.select("doc_id", "start", F.octet_length("ids").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")).withColumn("n_tokens", F.expr("n_tokens div 4"))
 
 
@@ -63,7 +68,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), kind="word", end_id=1)
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokens.public("word_bpe_49k.json"), kind="word", end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -74,6 +79,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash": op3_minhash,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {

@@ -13,6 +13,7 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -99,3 +100,16 @@ class Encoder:
                 yield self.encode_whole(words[0]) + b"".join(map(look, islice(words, 1, None)))
             else:
                 yield b"".join(map(look, text.split()))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, kind: str) -> Encoder:
+    """The encoder of this process: what one task has looked up serves the next."""
+    return Encoder(path, kind)
+
+
+def public(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
