@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch
+from quern.llm.common import Scratch, parted
 
 WINDOW = 10
 # The normalisation that the contract states.
@@ -120,12 +120,15 @@ def decontaminate(
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
+    scratch = Scratch(spark, "hits")
     hit = contamination(spark, docs, benchmark, id_col, text_col, item_col, window).where(F.size("hits") > 0)
     hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("hits").alias("_hits")).dropDuplicates(["_id", "_key"])
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    hit = scratch.table(hit, "hit")
+    maybe, clean = parted(docs, F.xxhash64(F.col(id_col)), hit, F.xxhash64("_id"))
+    keyed = maybe.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     on = keyed[id_col].eqNullSafe(hit["_id"]) & (keyed["_text_key"] == hit["_key"])
     if remove == "documents":
-        return keyed.join(hit, on, "left_anti").drop("_text_key")
+        return clean.unionByName(keyed.join(hit, on, "left_anti").drop("_text_key"))
     words = F.regexp_extract_all(text_col, F.lit(RAW_WORD), F.lit(0))
     gaps = F.split(text_col, RAW_WORD)
     left = F.concat(
@@ -139,4 +142,4 @@ def decontaminate(
         ),
     )
     joined = keyed.join(hit, on, "left")
-    return joined.withColumn(text_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
+    return clean.unionByName(joined.withColumn(text_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns))

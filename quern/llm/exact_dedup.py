@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bit_filter, filter_bits, flagged, passing
+from quern.llm.common import Scratch, bit_filter, filter_bits, flagged, parted, passing
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
 # A group of more rows than this is dealt out over PARTS tasks.
@@ -123,7 +123,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     The verdict is joined on the id and the digest of the text, so that rows
     that merely share an id are judged apart.
     """
-    verdict = exact_dedup(spark, docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    on = keyed[id_col].eqNullSafe(verdict["_id"]) & (keyed["_digest"] == verdict["_sha"])
-    return keyed.join(verdict, on, "left_semi").drop("_digest")
+    scratch = Scratch(spark, "copies")
+    verdict = exact_dedup(spark, docs, id_col, text_col)
+    gone = scratch.table(verdict.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
+    maybe, stays = parted(docs, F.xxhash64(F.col(id_col)), gone, F.xxhash64("_id"))
+    maybe = maybe.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
+    on = maybe[id_col].eqNullSafe(gone["_id"]) & (maybe["_digest"] == gone["_sha"])
+    return stays.unionByName(maybe.join(gone, on, "left_anti").drop("_digest"))
