@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bit_filter, filter_bits, mix64, passing, raw_texts
+from quern.llm.common import Scratch, bit_filter, filter_bits, mix64, parted, passing, raw_texts
 from quern.llm.components import components
 
 REGISTERS = 128
 BAND = 4  # registers a band: at 0.8 a pair misses all 32 bands with probability 5e-8
 BASE, RATE = 1.1, 20.0  # of the registers' scale
 TOP = 255  # the largest register
-# A pair is dropped if similarities below the threshold are e**MARGIN times likelier than any from it up.
-MARGIN = 14.0
+# A pair is dropped if similarities below the threshold are e**MARGIN times likelier than any from it up;
+# that happens to one pair in 100,000 that just reaches it.
+MARGIN = 9.0
 # A bucket is compared in squares of so many members.
 BLOCK = 1024
 # Bytes of text that are hashed at once.
@@ -199,28 +200,57 @@ def _screen(similarity: float):
             if not batch.num_rows:
                 continue
             r_a, r_b = _matrix(batch.column("r_a")), _matrix(batch.column("r_b"))
-            keep = plausible((r_a > r_b).sum(1), (r_a < r_b).sum(1), np.asarray(batch.column("n_a"), float), np.asarray(batch.column("n_b"), float), similarity)
+            n_a, n_b = (np.asarray(batch.column(c), float) for c in ("n_a", "n_b"))
+            keep = plausible((r_a > r_b).sum(1), (r_a < r_b).sum(1), n_a, n_b, similarity)
+            keep &= np.minimum(n_a, n_b) >= (similarity - 1e-9) * np.maximum(n_a, n_b)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _compare(similarity: float):
-    """Pairs across components within squares of a bucket: rows sorted by (key, row, col) in, (a, b) out."""
+def _hash_sets(words: int):
+    """(rep, hashes): the set of a text as sorted 32-bit hashes; they only serve to rule pairs out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in _shingle_sets(*raw_texts(batch), hasher, words)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "hashes"])
+
+    return run
+
+
+def _compare(percent: int):
+    """Pairs across components within squares of a bucket: rows sorted by (key, row, col) in, (a, b) out.
+
+    Registers rule out most pairs, then the hashed sets all but the links and
+    the few pairs that short hashes make look alike.
+    """
+    similarity = percent / 100
 
     def square(group: dict[str, np.ndarray]) -> np.ndarray:
-        ids, label, n, regs, block = (group[k] for k in ("rep", "label", "n_shingles", "registers", "block"))
+        ids, label, n, regs, block, hashes = (group[k] for k in ("rep", "label", "n_shingles", "registers", "block", "hashes"))
         same = group["row"][0] == group["col"][0]
         left = np.flatnonzero(block == group["row"][0])
+        band, bands = int(group["key"][0] >> 32), np.ascontiguousarray(regs).view(np.uint32)
         out = []
         for i in left:
             right = np.arange(i + 1, len(ids)) if same else np.flatnonzero(block == group["col"][0])
-            ratio = np.minimum(n[right], n[i]) / np.maximum(n[right], n[i])
-            right = right[(label[right] != label[i]) & (ratio >= similarity - 1e-9)]
+            right = right[label[right] != label[i]]
+            right = right[np.minimum(n[right], n[i]) >= (similarity - 1e-9) * np.maximum(n[right], n[i])]
+            # a pair counts in the first band that it shares
+            right = right[~(bands[i, :band] == bands[right, :band]).any(axis=1)]
             if not len(right):
                 continue
             more, less = (regs[i] > regs[right]).sum(1), (regs[i] < regs[right]).sum(1)
             right = right[plausible(more, less, np.full(len(right), float(n[i])), n[right].astype(float), similarity)]
+            if not len(right):
+                continue
+            sets = [np.frombuffer(hashes[k], dtype=np.uint32) for k in right]
+            own, all_ = np.frombuffer(hashes[i], dtype=np.uint32), np.concatenate(sets)
+            met = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
+            shared = np.add.reduceat(met.astype(np.int64), np.cumsum([0, *map(len, sets[:-1])])) + (n[i] - len(own))  # and those whose short hashes coincide
+            right = right[100 * shared >= percent * (n[i] + n[right] - shared)]
             out.append(np.stack([np.minimum(ids[i], ids[right]), np.maximum(ids[i], ids[right])], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -243,8 +273,9 @@ def _compare(similarity: float):
 
 
 def _squares(table: pa.Table, turns: np.ndarray, square) -> Iterator[pa.RecordBatch]:
-    columns = {c: np.asarray(table.column(c)) for c in ("row", "col", "block", "rep", "label", "n_shingles")}
+    columns = {c: np.asarray(table.column(c)) for c in ("key", "row", "col", "block", "rep", "label", "n_shingles")}
     columns["registers"] = _matrix(table.column("registers").combine_chunks())
+    columns["hashes"] = np.array(table.column("hashes").to_pylist(), dtype=object)
     bounds = [0, *turns.tolist(), table.num_rows]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         pairs = square({k: v[a:b] for k, v in columns.items()})
@@ -301,7 +332,6 @@ def near_duplicates(
     gives an empty result.
     """
     scratch = Scratch(spark, "near")
-    similarity = percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = scratch.table(texts.mapInArrow(_sketches(words), _SKETCH.format(id="long")), "sketched")
 
@@ -310,7 +340,7 @@ def near_duplicates(
     reps = scratch.table(sets, "sets")
     nodes = reps.dropDuplicates(["rep"])
 
-    links = _links(spark, scratch, texts, nodes, words, percent, similarity)
+    links = _links(scratch, texts, nodes, words, percent)
     labels = components(scratch, scratch.table(links.distinct(), "links"), "labels").withColumnRenamed("node", "rep")
 
     named = reps.join(labels, "rep", "left").select("high", "low", "n_shingles", F.coalesce("label", "rep").alias("label"))
@@ -323,10 +353,10 @@ def _band_key(position: Column, four: Column) -> Column:
     return F.shiftleft(position.cast("long"), 32) + F.conv(F.hex(four), 16, 10).cast("long")
 
 
-def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, nodes: DataFrame, words: int, percent: int, similarity: float) -> DataFrame:
+def _links(scratch: Scratch, texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) with a < b: enough confirmed links for all components between different sets."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: _band_key(i, F.substring(F.col("registers"), i * BAND + 1, F.lit(BAND))))
-    keyed = nodes.select("rep", F.col("n_shingles").cast("int").alias("n"), F.explode(bands).alias("key"))
+    keyed = nodes.select("rep", F.explode(bands).alias("key"))
     keyed = scratch.table(keyed, "keyed")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("centre")).where("members > 1")
     met = scratch.table(met, "met")
@@ -334,47 +364,73 @@ def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, nodes: DataF
     scratch.drop("keyed")
 
     # first, every member of a bucket against its smallest
-    size = nodes.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"))
-    star = members.where("rep <> centre").select(F.col("centre"), "rep", "n").distinct().join(size, "centre")
-    star = star.where(F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * percent).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    tried = _plausible_pairs(star, nodes, similarity)
+    tried = _plausible_pairs(members.where("rep <> centre").select("centre", "rep"), nodes, percent)
     tried = scratch.table(tried, "tried-0")
-    links = scratch.table(_confirmed(spark, scratch, texts, nodes, tried, words, percent), "links-0")
-
-    # then, within buckets that still hold several components, all pairs across them
-    labels = components(scratch, links, "early").withColumnRenamed("node", "rep")
-    labelled = members.where("members > 2").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = scratch.table(labelled.select("key", "rep", "label", "members"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    rows = labelled.join(mixed, "key").join(nodes.select("rep", "n_shingles", "registers"), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    links = scratch.table(_confirmed(texts, tried, words, percent), "links-0")
+
+    # then, in buckets that hold several components, against a member that chance picks in each
+    several = members.where("members > 2").select("key", "rep", "members")
+    mixed = _mixed(scratch, several, components(scratch, links, "labels-0"), "mixed-1")
+    chance = F.xxhash64("key", "rep")
+    centre = mixed.groupBy("key").agg(F.min(F.struct(chance.alias("by"), "rep", "label")).alias("centre"))
+    star = mixed.join(centre, "key").where("label <> centre.label").select("centre.rep", F.col("rep").alias("other"))
+    star = _plausible_pairs(star.toDF("centre", "rep"), nodes, percent).join(tried, ["a", "b"], "left_anti")
+    star = scratch.table(star, "tried-1")
+    links = links.union(scratch.table(_confirmed(texts, star, words, percent), "links-1"))
+
+    # last, in buckets that still do, all pairs across components
+    mixed = _mixed(scratch, mixed.select("key", "rep", "members"), components(scratch, links, "labels-1"), "mixed-2")
+    asked = _texts_of(texts, mixed.select(F.col("rep").alias("doc_id")).distinct()).select(F.col("doc_id").alias("rep"), "text")
+    sets = asked.mapInArrow(_hash_sets(words), "rep long, hashes binary")
+    rows = mixed.join(sets, "rep").join(nodes.select("rep", "n_shingles", "registers"), "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "rep", "label", "n_shingles", "registers")
+    rows = rows.select("key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "rep", "label", "n_shingles", "registers", "hashes")
     dealt = rows.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col", "rep")
-    across = dealt.mapInArrow(_compare(similarity), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    across = scratch.table(across, "tried-1")
+    across = dealt.mapInArrow(_compare(percent), "a long, b long").distinct().join(tried.union(star), ["a", "b"], "left_anti")
+    across = scratch.table(across, "tried-2")
     if across.isEmpty():
         return links
-    return links.union(scratch.table(_confirmed(spark, scratch, texts, nodes, across, words, percent), "links-1"))
+    return links.union(scratch.table(_confirmed(texts, across, words, percent), "links-2"))
+
 
+def _mixed(scratch: Scratch, members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """(key, rep, members, label): the members of buckets that hold several components."""
+    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = scratch.table(labelled, f"{name}-labelled")
+    keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    return scratch.table(labelled.join(keys, "key"), name)
 
-def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+
+def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: the distinct pairs (centre, rep) that may reach the similarity."""
+    pairs = pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     left = nodes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a"))
     right = nodes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(_screen(similarity), "a long, b long")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(_screen(percent / 100), "a long, b long")
 
 
-def _confirmed(spark: SparkSession, scratch: Scratch, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity.
 
-    Only texts that pass a bit filter over the ids in pairs go through a
-    shuffle.  The text of b travels to a, whose text is there once.
+    The text of b travels to a, whose text is there once.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    bits = filter_bits(ids.count())
-    word = F.xxhash64("doc_id")
-    asked = passing(texts, word, bits, bit_filter(ids, word, bits)).dropDuplicates(["doc_id"])
+    asked = _texts_of(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     right = pairs.join(asked.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
     both = right.join(asked.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a")
     return both.select("a", "b", "t_a", "t_b").mapInArrow(_confirm(words, percent), "a long, b long")
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of (at least) these documents, once each; only those that pass a bit filter go through a shuffle."""
+    bits, word = filter_bits(ids.count()), F.xxhash64("doc_id")
+    return passing(texts, word, bits, bit_filter(ids, word, bits)).dropDuplicates(["doc_id"])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: of each group the smallest id; rows with a null id stay."""
+    scratch = Scratch(spark, "near-gone")
+    found = near_duplicates(spark, docs, id_col, text_col, words, percent)
+    gone = scratch.table(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    maybe, stays = parted(docs, F.xxhash64(F.col(id_col).cast("long")), gone, F.xxhash64("_gone"))
+    return stays.unionByName(maybe.join(gone, maybe[id_col].cast("long") == gone["_gone"], "left_anti"))
