@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, suffix_dedup, token_files, tokens, toxicity
+from quern.llm import decontamination, exact_dedup, language_id, minhash, packing, quality, secret_scan, suffix_dedup, token_files, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "text_score", "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_secret_scan": op10_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
 
