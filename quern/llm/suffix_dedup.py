@@ -92,13 +92,23 @@ def _each(batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[int, np.nda
         seen.add(sha)
 
 
+def _ends(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor's places in a text the first and the last: enough to see whether it stands in several."""
+    if not len(h):
+        return at, h
+    found, first = np.unique(h, return_index=True)
+    last = len(h) - 1 - np.unique(h[::-1], return_index=True)[1]
+    more = last != first
+    return np.concatenate([at[first], at[last[more]]]), np.concatenate([found, found[more]])
+
+
 def _scan(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, seen = Anchors(length), set()
         for batch in batches:
             sizes, shas, places, hashes = [], [], [], []
             for _, part, sha, new in _each(batch, seen):
-                at, h = anchors.of(part) if new else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                at, h = _ends(*anchors.of(part)) if new else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 sizes.append(len(part))
                 shas.append(sha)
                 places.append(at)
@@ -109,8 +119,19 @@ def _scan(length: int):
     return run
 
 
+_CONTEXT = "anchor long, sha binary, starts array<long>, before int, context binary"
+
+
 def _contexts(shared, length: int):
-    """(anchor, sha, start, before, context): the bytes round each anchor that may stand in several places."""
+    """The bytes round each anchor that may stand in several places.
+
+    Of a text's places with one anchor and equal bytes round it, as periodic
+    text has many, there is one row with all their starts.
+    """
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["anchor", "sha", "starts", "before", "context"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, seen = Anchors(length), set()
@@ -121,19 +142,18 @@ def _contexts(shared, length: int):
                 if not new or len(part) < length:
                     continue
                 at, h = anchors.of(part)
+                same: dict[tuple[int, int, bytes], list[int]] = {}
                 for i in np.flatnonzero(in_bits(shared.value, h)):
                     start = int(at[i])
                     low = max(0, start - side)
-                    out.append((int(h[i]), sha, start, start - low, part[low : start + length].tobytes()))
+                    same.setdefault((int(h[i]), start - low, part[low : start + length].tobytes()), []).append(start)
+                for (anchor, before, context), starts in same.items():
+                    out.append((anchor, sha, starts, before, context))
                     if len(out) >= 4096:
-                        yield _rows(out)
+                        yield rows(out)
                         out = []
             if out:
-                yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["anchor", "sha", "start", "before", "context"])
+                yield rows(out)
 
     return run
 
@@ -197,11 +217,22 @@ def _collections(length: int):
                 symbols[:, at : at + 1024] = part.T
             first, last = column_matches(symbols, bucket, length)
             del symbols
-        hit = np.flatnonzero(first >= 0)
-        origin = table.column("start").to_numpy()[hit] - side  # of the first column
-        return pa.RecordBatch.from_arrays(
-            [table.column("sha").combine_chunks().take(pa.array(hit)), pa.array(origin + first[hit]), pa.array(origin + last[hit] + length)], ["sha", "from", "to"]
-        )
+        shas, low, high = [], [], []
+        starts, sha = table.column("starts").to_pylist(), table.column("sha").to_pylist()
+        sizes = np.asarray([len(x) for x in table.column("context").to_pylist()])
+        several = np.asarray([len(x) > 1 for x in starts]) & (sizes >= length)  # whatever lies in it repeats
+        first = np.where(several, side - before, first)
+        last = np.where(several, side - before + sizes - length, last)
+        for i in np.flatnonzero(first >= 0):
+            begin = end = -1
+            for start in starts[i]:  # in order, so neighbours can be joined
+                a, b = start - side + int(first[i]), start - side + int(last[i]) + length
+                if a > end >= 0:
+                    shas.append(sha[i]), low.append(begin), high.append(end)
+                    begin = a
+                begin, end = (a if begin < 0 else begin), b
+            shas.append(sha[i]), low.append(begin), high.append(end)
+        return pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["sha", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -228,11 +259,11 @@ def _strings(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sha, start, before, context in zip(*(batch.column(c).to_pylist() for c in ("sha", "start", "before", "context")), strict=True):
-                starts = range(len(context) - length + 1)
-                digests = np.frombuffer(b"".join(hashlib.blake2b(context[s : s + length], digest_size=16).digest() for s in starts), dtype=np.int64)
-                if len(digests):
-                    columns = [pa.array(digests[::2]), pa.array(digests[1::2]), pa.array([sha] * len(starts), pa.binary()), pa.array(np.arange(len(starts)) + start - before)]
+            for sha, places, before, context in zip(*(batch.column(c).to_pylist() for c in ("sha", "starts", "before", "context")), strict=True):
+                inside = range(len(context) - length + 1)
+                digests = np.frombuffer(b"".join(hashlib.blake2b(context[s : s + length], digest_size=16).digest() for s in inside), dtype=np.int64)
+                for place in places if len(digests) else ():
+                    columns = [pa.array(digests[::2]), pa.array(digests[1::2]), pa.array([sha] * len(inside), pa.binary()), pa.array(np.arange(len(inside)) + place - before)]
                     yield pa.RecordBatch.from_arrays(columns, ["high", "low", "sha", "start"])
 
     return run
@@ -267,13 +298,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     met = scratch.table(met, "met")
     bits = filter_bits(met.count())
     shared = spark.sparkContext.broadcast(bits_to_numpy(bit_filter(met, F.col("anchor"), bits), bits))
-    contexts = rows.select("text").mapInArrow(_contexts(shared, length), "anchor long, sha binary, start long, before int, context binary")
+    contexts = rows.select("text").mapInArrow(_contexts(shared, length), _CONTEXT)
     large = met.where(F.col("n") > large_bucket).select("anchor")
     none_large = large.isEmpty()
     if not none_large:
         contexts = scratch.table(contexts, "contexts")
     usual = contexts if none_large else contexts.join(large, "anchor", "left_anti")
-    spans = usual.repartition("anchor").sortWithinPartitions("anchor", "sha", "start").mapInArrow(_collections(length), "sha binary, from long, to long")
+    spans = usual.repartition("anchor").sortWithinPartitions("anchor", "sha").mapInArrow(_collections(length), "sha binary, from long, to long")
     if not none_large:
         spans = spans.union(_large(contexts.join(large, "anchor", "left_semi"), length))
     merged = spans.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("found"))  # a text's own
