@@ -33,6 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Rows that Spark hands to Python at once, unless the session says otherwise: texts may be long.
+ROWS_A_BATCH = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Make the batches of texts that Python workers get small, where their size is still Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") in (None, "10000"):
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
 class Scratch:
     """Tables of one run of an operator, written as Parquet in the shared folder.
 
@@ -115,23 +126,23 @@ def flagged(rows: DataFrame, name: str, key: Column, bits: int, bitmaps: DataFra
     The bitmaps take at most bits / 8 bytes, so they are broadcast.
     """
     at = bit_of(key, bits)
-    place = rows.withColumn("_part", F.floor(at / _BITMAP_BITS) + 1).withColumn("_at", at % _BITMAP_BITS)
-    small = F.broadcast(bitmaps.select(F.col("part").alias("_part"), F.col("bitmap").alias("_bitmap")))
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0, F.lit(False))
-    return place.join(small, "_part", "left").withColumn(name, hit).drop("_part", "_at", "_bitmap")
+    place = rows.withColumn("quern_part", F.floor(at / _BITMAP_BITS) + 1).withColumn("quern_at", at % _BITMAP_BITS)
+    small = F.broadcast(bitmaps.select(F.col("part").alias("quern_part"), F.col("bitmap").alias("quern_bitmap")))
+    byte = F.conv(F.hex(F.expr("substring(quern_bitmap, cast(quern_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(quern_at % 8 as int))")) != 0, F.lit(False))
+    return place.join(small, "quern_part", "left").withColumn(name, hit).drop("quern_part", "quern_at", "quern_bitmap")
 
 
 def passing(rows: DataFrame, key: Column, bits: int, bitmaps: DataFrame) -> DataFrame:
     """The rows whose key may be in the filter: all that are, and few others."""
-    return flagged(rows, "_may", key, bits, bitmaps).where("_may").drop("_may")
+    return flagged(rows, "quern_may", key, bits, bitmaps).where("quern_may").drop("quern_may")
 
 
 def parted(rows: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among `keys`, rows whose key isn't): only the first need a join, and so a shuffle."""
     bits = filter_bits(keys.count())
-    both = flagged(rows, "_may", key, bits, bit_filter(keys, keys_key, bits))
-    return both.where("_may").drop("_may"), both.where("not _may").drop("_may")
+    both = flagged(rows, "quern_may", key, bits, bit_filter(keys, keys_key, bits))
+    return both.where("quern_may").drop("quern_may"), both.where("not quern_may").drop("quern_may")
 
 
 def bits_to_numpy(bitmaps: DataFrame, bits: int) -> np.ndarray:
@@ -151,8 +162,10 @@ def in_bits(filter_bytes: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The texts of a batch one by one; null is an empty text."""
-    for value in batch.column(column):
-        yield value.as_py() or ""
+    array = batch.column(column)
+    for at in range(0, len(array), 256):
+        for value in array.slice(at, 256).to_pylist():
+            yield value or ""
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -97,8 +97,8 @@ def contamination(
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("hits"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    out, hit = scanned.select("doc_id", "text_key", "n_words"), hit.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    out = out.join(hit, out["doc_id"].eqNullSafe(hit["_id"]) & (out["text_key"] == hit["_key"]), "left")
+    out, hit = scanned.select("doc_id", "text_key", "n_words"), hit.withColumnsRenamed({"doc_id": "quern_id", "text_key": "quern_key"})
+    out = out.join(hit, out["doc_id"].eqNullSafe(hit["quern_id"]) & (out["text_key"] == hit["quern_key"]), "left")
     none = F.array()
     return out.select("doc_id", "text_key", "n_words", F.coalesce("hits", none.cast("array<int>")).alias("hits"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
@@ -122,24 +122,24 @@ def decontaminate(
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     scratch = Scratch(spark, "hits")
     hit = contamination(spark, docs, benchmark, id_col, text_col, item_col, window).where(F.size("hits") > 0)
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("hits").alias("_hits")).dropDuplicates(["_id", "_key"])
+    hit = hit.select(F.col("doc_id").alias("quern_id"), F.col("text_key").alias("quern_key"), F.col("hits").alias("quern_hits")).dropDuplicates(["quern_id", "quern_key"])
     hit = scratch.table(hit, "hit")
-    maybe, clean = parted(docs, F.xxhash64(F.col(id_col)), hit, F.xxhash64("_id"))
-    keyed = maybe.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = keyed[id_col].eqNullSafe(hit["_id"]) & (keyed["_text_key"] == hit["_key"])
+    maybe, clean = parted(docs, F.xxhash64(F.col(id_col)), hit, F.xxhash64("quern_id"))
+    keyed = maybe.withColumn("quern_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    on = keyed[id_col].eqNullSafe(hit["quern_id"]) & (keyed["quern_text_key"] == hit["quern_key"])
     if remove == "documents":
-        return clean.unionByName(keyed.join(hit, on, "left_anti").drop("_text_key"))
+        return clean.unionByName(keyed.join(hit, on, "left_anti").drop("quern_text_key"))
     words = F.regexp_extract_all(text_col, F.lit(RAW_WORD), F.lit(0))
     gaps = F.split(text_col, RAW_WORD)
     left = F.concat(
         F.get(gaps, F.lit(0)),
         F.array_join(
             F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col("_hits")),
+                F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col("quern_hits")),
                 lambda i: F.concat(F.get(words, i), F.get(gaps, i + 1)),
             ),
             "",
         ),
     )
     joined = keyed.join(hit, on, "left")
-    return clean.unionByName(joined.withColumn(text_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns))
+    return clean.unionByName(joined.withColumn(text_col, F.when(F.col("quern_hits").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns))

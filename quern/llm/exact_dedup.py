@@ -125,8 +125,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """
     scratch = Scratch(spark, "copies")
     verdict = exact_dedup(spark, docs, id_col, text_col)
-    gone = scratch.table(verdict.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
-    maybe, stays = parted(docs, F.xxhash64(F.col(id_col)), gone, F.xxhash64("_id"))
-    maybe = maybe.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    on = maybe[id_col].eqNullSafe(gone["_id"]) & (maybe["_digest"] == gone["_sha"])
-    return stays.unionByName(maybe.join(gone, on, "left_anti").drop("_digest"))
+    gone = scratch.table(verdict.where("not kept").select(F.col("doc_id").alias("quern_id"), F.col("text_sha256").alias("quern_sha")).distinct(), "gone")
+    maybe, stays = parted(docs, F.xxhash64(F.col(id_col)), gone, F.xxhash64("quern_id"))
+    maybe = maybe.withColumn("quern_digest", F.sha2(normalised(F.col(text_col)), 256))
+    on = maybe[id_col].eqNullSafe(gone["quern_id"]) & (maybe["quern_digest"] == gone["quern_sha"])
+    return stays.unionByName(maybe.join(gone, on, "left_anti").drop("quern_digest"))

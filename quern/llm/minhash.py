@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bit_filter, filter_bits, mix64, parted, passing, raw_texts
+from quern.llm.common import Scratch, bit_filter, bound_batches, filter_bits, mix64, parted, passing, raw_texts
 from quern.llm.components import components
 
 REGISTERS = 128
@@ -331,6 +331,7 @@ def near_duplicates(
     and keeps a null component.  Other columns are not read; an empty table
     gives an empty result.
     """
+    bound_batches(spark)
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = scratch.table(texts.mapInArrow(_sketches(words), _SKETCH.format(id="long")), "sketched")
@@ -431,6 +432,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     """The rows of `docs` that stay, with all their columns: of each group the smallest id; rows with a null id stay."""
     scratch = Scratch(spark, "near-gone")
     found = near_duplicates(spark, docs, id_col, text_col, words, percent)
-    gone = scratch.table(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    maybe, stays = parted(docs, F.xxhash64(F.col(id_col).cast("long")), gone, F.xxhash64("_gone"))
-    return stays.unionByName(maybe.join(gone, maybe[id_col].cast("long") == gone["_gone"], "left_anti"))
+    gone = scratch.table(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("quern_gone")).distinct(), "gone")
+    maybe, stays = parted(docs, F.xxhash64(F.col(id_col).cast("long")), gone, F.xxhash64("quern_gone"))
+    return stays.unionByName(maybe.join(gone, maybe[id_col].cast("long") == gone["quern_gone"], "left_anti"))

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import texts
-from quern.llm.tokens import Encoder
+from quern.llm import tokens
+from quern.llm.common import bound_batches, texts
 
 CAPACITY = 2048
 # Tokens of padding that a full bin of a class may have.
@@ -92,7 +92,7 @@ _ROWS = 4096  # of a batch that is handed on
 
 def _pack(path: str, kind: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path, kind), Packer(capacity)
+        encoder, packer = tokens.encoder(path, kind), Packer(capacity)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         waiting: dict[int, tuple[object, bytes, int]] = {}  # documents with pieces in open bins: id, token ids, tokens still open
@@ -140,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
     id is kept; repeated rows are packed each for itself.  Other columns are
     not read; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_pack(tokenizer, kind, end_id, capacity), _SCHEMA.format(id=id_type))

@@ -10,6 +10,7 @@ which the cut isn't safe are encoded whole by the library.
 from __future__ import annotations
 
 import re
+import string
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -18,13 +19,15 @@ from itertools import islice
 
 import numpy as np
 
-# Entries that the caches of words and of pieces hold before they are emptied, and characters of the longest of them.
-CACHED_WORDS, CACHED_PIECES, CACHED_CHARS = 400_000, 200_000, 64
+# Entries that the caches of words and of pieces hold, and characters of the longest of them.
+CACHED_WORDS, CACHED_PIECES, CACHED_CHARS = 200_000, 200_000, 64
 
-# Beyond Latin letters, or with another lower case or blank in str than in the tokenizers.
-_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ɏ]")
-# Two blanks of which one is a space: the cut between them depends on what follows.
-_RUN = re.compile(r"\s (?:\s|\Z)|  ")
+# Blanks in str that aren't in the tokenizers, and the other way round.
+_ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+# Beyond Latin letters, or with another lower case in str than in the tokenizers.
+_ODD = re.compile("[^\x00-\xffĀ-įı-ɏ]")
+# A space after another blank: the cut between them depends on what follows.
+_RUNS = tuple(blank + " " for blank in " \n\t\r\x0b\x0c\xa0")
 
 # The patterns by which the two kinds of tokenizers cut a text.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,8 +41,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+_SPACE = byte_letters()[0x20]
+_MARKS = string.punctuation
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # those of ASCII
+
+
 class _Cache(dict):
-    """A dict that makes missing entries and is emptied when full."""
+    """A dict that makes missing entries; when it is full, the older half goes."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
@@ -48,8 +56,9 @@ class _Cache(dict):
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= self.most:
-                self.clear()
+            if len(self) >= self.most:  # the older half goes
+                for old in list(islice(self, self.most // 2)):
+                    del self[old]
             self[key] = value
         return value
 
@@ -73,31 +82,43 @@ class Encoder:
         self.merge = self.library.model.tokenize
         self.pieces = _Cache(self._piece, CACHED_PIECES)
         self.words = _Cache(self._word, CACHED_WORDS)
+        self.firsts = _Cache(self.encode_whole, CACHED_PIECES // 4)
 
     def encode_whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.merge(piece.encode().decode("latin-1").translate(self.letters))
-        ids = array("I", [token.id for token in found])
+        """The ids of a piece whose bytes stand as letters."""
+        ids = array("I", [token.id for token in self.merge(piece)])
         return ids.tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         """The ids of a word; one that follows a space in the byte kind."""
-        word = " " + word if self.byte else word.lower()
-        if word[self.byte :].isalpha():
-            return self.pieces[word]
-        return b"".join(map(self.pieces.__getitem__, self.cut(word)))
+        if not self.byte:
+            word = word.lower()
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():  # letters, then marks: two pieces in either pattern
+            piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[_SPACE + piece if self.byte else piece]
+            return ids + self.pieces[word[len(stem) :]] if len(stem) < len(word) else ids
+        pieces = self.cut(" " + word if self.byte else word)
+        return b"".join([self.pieces[p.encode().decode("latin-1").translate(self.letters)] for p in pieces])
+
+    def _plain(self, text: str) -> bool:
+        """Whether the text may be cut at its blanks."""
+        if not text.isascii() and _ODD.search(text):
+            return False
+        return not any(c in text for c in _ODD_BLANKS) and not (self.byte and any(run in text for run in _RUNS))
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text."""
         look = self.words.__getitem__
         for text in texts:
-            if _ODD.search(text) or (self.byte and _RUN.search(text)):
+            if not self._plain(text):
                 yield self.encode_whole(text)
             elif self.byte:
                 words = text.split(" ")
-                yield self.encode_whole(words[0]) + b"".join(map(look, islice(words, 1, None)))
+                yield self.firsts[words[0]] + b"".join(map(look, islice(words, 1, None)))
             else:
                 yield b"".join(map(look, text.split()))
 
