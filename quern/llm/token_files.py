@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, texts
-from quern.llm.tokens import Encoder
+from quern.llm import tokens
+from quern.llm.common import Scratch, bound_batches, texts
 
 SEQUENCE = 2048
 # Tokens after which a shard is closed, at the end of a document.
 SHARD_TOKENS = 1 << 23
+# Words that a worker's encoder remembers: some 200 MB.
+CACHED_WORDS = 400_000
 _ROWS_A_BATCH = 256
 
 
@@ -93,16 +95,16 @@ class Shard:
 
 def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(path, kind), TaskContext.get().partitionId(), 0
+        encoder, part, number = tokens.encoder(path, kind, CACHED_WORDS), TaskContext.get().partitionId(), 0
         width = np.uint16 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else np.uint32
-        end = np.asarray([end_id], dtype=width)
-        parts: list[np.ndarray] = []
+        end = np.asarray([end_id], dtype="<u4").tobytes()
+        parts: list[bytes] = []
         doc_ids, lengths, held = [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal parts, doc_ids, lengths, held, number
             uri = f"{folder}/shard-{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrow"
-            write_shard(uri, np.concatenate(parts), pa.array(doc_ids, id_type), lengths, sequence)
+            write_shard(uri, np.frombuffer(b"".join(parts), dtype="<u4").astype(width), pa.array(doc_ids, id_type), lengths, sequence)
             row = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "uri": [uri], "n_tokens": [held]})
             parts, doc_ids, lengths, held, number = [], [], [], 0, number + 1
             return row
@@ -110,7 +112,7 @@ def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, shard_
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch)), strict=True):
-                parts += [np.frombuffer(ids, dtype="<u4").astype(width), end]
+                parts += [ids, end]
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)
                 held += lengths[-1]
@@ -142,6 +144,7 @@ def write_token_files(
     share an id follow each other in the order of their texts' hashes.  Other
     columns are not read; an empty table gives no shard.
     """
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -155,7 +158,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             documents = shard.documents.column("doc_id").combine_chunks()
             for at in range(0, len(documents), 1024):
                 to = min(len(documents), at + 1024)
-                ids = [shard.document(i).astype("<u4").tobytes() for i in range(at, to)]
+                cut = 4 * (shard.starts[at : to + 1] - shard.starts[at])
+                whole = shard.tokens_between(int(shard.starts[at]), int(shard.starts[to])).astype("<u4").tobytes()
+                ids = [whole[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 starts = pa.array(base + shard.starts[at:to])
                 yield pa.RecordBatch.from_arrays([documents.slice(at, to - at), starts, pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
             shard.close()

@@ -19,15 +19,15 @@ from itertools import islice
 
 import numpy as np
 
-# Entries that the caches of words and of pieces hold, and characters of the longest of them.
-CACHED_WORDS, CACHED_PIECES, CACHED_CHARS = 200_000, 200_000, 64
+# Entries that the caches of words and of pieces hold unless told otherwise, and characters of the longest of them.
+CACHED, CACHED_CHARS = 200_000, 64
 
 # Blanks in str that aren't in the tokenizers, and the other way round.
 _ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 # Beyond Latin letters, or with another lower case in str than in the tokenizers.
 _ODD = re.compile("[^\x00-\xffĀ-įı-ɏ]")
-# A space after another blank: the cut between them depends on what follows.
-_RUNS = tuple(blank + " " for blank in " \n\t\r\x0b\x0c\xa0")
+# A space after another blank: the cut between them depends on what follows.  Two spaces are seen in the words.
+_RUNS = tuple(blank + " " for blank in "\n\t\r\x0b\x0c\xa0")
 
 # The patterns by which the two kinds of tokenizers cut a text.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,7 +69,7 @@ class Encoder:
     Ids come as bytes of little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, most: int = CACHED):
         import regex
         from tokenizers import Tokenizer
 
@@ -80,9 +80,9 @@ class Encoder:
         self.cut = regex.compile(BYTE_PATTERN if self.byte else WORD_PATTERN).findall
         self.letters = byte_letters()
         self.merge = self.library.model.tokenize
-        self.pieces = _Cache(self._piece, CACHED_PIECES)
-        self.words = _Cache(self._word, CACHED_WORDS)
-        self.firsts = _Cache(self.encode_whole, CACHED_PIECES // 4)
+        self.pieces = _Cache(self._piece, most)
+        self.words = _Cache(self._word, most)
+        self.firsts = _Cache(self._first, most // 4)
 
     def encode_whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -93,15 +93,31 @@ class Encoder:
         return ids.tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word; one that follows a space in the byte kind."""
+        """The ids of a word; in the byte kind of one that follows a space."""
         if not self.byte:
             word = word.lower()
+        elif "\n" in word:
+            return self._lines(word, self.words)
+        return self._cut(word, _SPACE if self.byte else "")
+
+    def _first(self, word: str) -> bytes:
+        """The ids of a word that no space comes before, in the byte kind."""
+        return self._lines(word, self.firsts) if "\n" in word else self._cut(word, "")
+
+    def _lines(self, word: str, head: _Cache) -> bytes:
+        """A word with line ends in it: one that stands alone is a piece of its own."""
+        first, _, rest = word.partition("\n")
+        if first and rest and not first[-1].isspace() and not rest[0].isspace():
+            return head[first] + self.pieces[self.letters[0x0A]] + self.firsts[rest]
+        return self._cut(word, _SPACE if head is self.words else "")
+
+    def _cut(self, word: str, lead: str) -> bytes:
         stem = word.rstrip(_MARKS)
         if stem.isalpha():  # letters, then marks: two pieces in either pattern
             piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[_SPACE + piece if self.byte else piece]
+            ids = self.pieces[lead + piece]
             return ids + self.pieces[word[len(stem) :]] if len(stem) < len(word) else ids
-        pieces = self.cut(" " + word if self.byte else word)
+        pieces = self.cut(" " + word if lead else word)
         return b"".join([self.pieces[p.encode().decode("latin-1").translate(self.letters)] for p in pieces])
 
     def _plain(self, text: str) -> bool:
@@ -118,15 +134,18 @@ class Encoder:
                 yield self.encode_whole(text)
             elif self.byte:
                 words = text.split(" ")
-                yield self.firsts[words[0]] + b"".join(map(look, islice(words, 1, None)))
+                if words.count("") > (not words[0]):  # two spaces side by side, or one at the end
+                    yield self.encode_whole(text)
+                else:
+                    yield self.firsts[words[0]] + b"".join(map(look, islice(words, 1, None)))
             else:
                 yield b"".join(map(look, text.split()))
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, most: int = CACHED) -> Encoder:
     """The encoder of this process: what one task has looked up serves the next."""
-    return Encoder(path, kind)
+    return Encoder(path, kind, most)
 
 
 def public(name: str) -> str:
