@@ -31,7 +31,7 @@ MARGIN = 9.0
 # A bucket is compared in squares of so many members.
 BLOCK = 1024
 # Bytes of text that are hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
