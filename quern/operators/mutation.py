@@ -156,7 +156,7 @@ class Mutations:
         rest = table.fields_frame(self.spark).join(made.select(RID), RID, "left_anti")
         place = _renumbered(made, table.next_rid)
         out = self.store.rewritten(table, rest.unionByName(place), table.next_rid + self.width(made))
-        return out, changed.rows
+        return out.changed(slots=table.slots + changed.rows), changed.rows
 
     def width(self, made: DataFrame) -> int:
         low, high = made.agg(F.min(RID), F.max(RID)).first()
@@ -194,9 +194,9 @@ class Mutations:
         if first:
             raise EngineError(first[0]["code"])
 
-    def vacuum(self, table: Table) -> tuple[Table, int, int]:
-        """(new version, rows before, rows after): everything in one segment; old versions go with whoever holds them."""
-        return self.store.compacted(table), table.rows, table.rows
+    def vacuum(self, table: Table) -> Table:
+        """Everything in one segment; old versions go with whoever holds them."""
+        return self.store.compacted(table).changed(slots=table.rows)
 
 
 class _Kept:

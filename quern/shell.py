@@ -45,7 +45,7 @@ class Shell:
                 print(f"saved to {rest}", file=self.out)
             elif name == ".load" and rest:
                 session.load(rest)
-                print(f"loaded from {rest}", file=self.out)
+                print(f"loaded {rest}", file=self.out)
             else:
                 print(f"unrecognised command: {line}", file=self.out)
         except EngineError as error:

@@ -70,6 +70,7 @@ class Table:
     tailed: int = 0
     next_rid: int = 0
     next_field: int = 0
+    slots: int = 0  # rows ever placed since the last VACUUM
     version: int = field(default_factory=lambda: next(_versions))
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -91,7 +92,7 @@ class Table:
     def appended(self, row: dict[str, Any]) -> Table:
         tail = self.tail if len(self.tail) == self.tailed else self.tail[: self.tailed]
         tail.append((self.next_rid, row))
-        return self.changed(tail=tail, tailed=self.tailed + 1, next_rid=self.next_rid + 1)
+        return self.changed(tail=tail, tailed=self.tailed + 1, next_rid=self.next_rid + 1, slots=self.slots + 1)
 
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(RID, T.LongType()), *(T.StructField(c.field, SPARK_TYPES[c.type]) for c in self.columns)])

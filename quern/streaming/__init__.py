@@ -30,7 +30,7 @@ def append(session: Session, table_name: str, batch: DataFrame) -> int:
         if not segment.rows:
             return 0
         high = made.agg(F.max(RID)).first()[0]
-        changed = table.changed(segments=(*table.segments, segment), next_rid=high + 1)
+        changed = table.changed(segments=(*table.segments, segment), next_rid=high + 1, slots=table.slots + segment.rows)
         session.publish(engine.catalog.with_namespace(space.with_table(changed)))
         return segment.rows
 
