@@ -217,7 +217,7 @@ def _collections(length: int):
                 symbols[:, at : at + 1024] = part.T
             first, last = column_matches(symbols, bucket, length)
             del symbols
-        shas, low, high = [], [], []
+        out: list[tuple[bytes, int, int]] = []
         starts, sha = table.column("starts").to_pylist(), table.column("sha").to_pylist()
         sizes = np.asarray([len(x) for x in table.column("context").to_pylist()])
         several = np.asarray([len(x) > 1 for x in starts]) & (sizes >= length)  # whatever lies in it repeats
@@ -228,11 +228,12 @@ def _collections(length: int):
             for start in starts[i]:  # in order, so neighbours can be joined
                 a, b = start - side + int(first[i]), start - side + int(last[i]) + length
                 if a > end >= 0:
-                    shas.append(sha[i]), low.append(begin), high.append(end)
+                    out.append((sha[i], begin, end))
                     begin = a
                 begin, end = (a if begin < 0 else begin), b
-            shas.append(sha[i]), low.append(begin), high.append(end)
-        return pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["sha", "from", "to"])
+            out.append((sha[i], begin, end))
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["sha", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
