@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import EngineError
-from quern.functions.expressions import Bind, strict, tolerant
+from quern.functions.expressions import Bind, tolerant
 from quern.plans import ast
 from quern.plans.binder import NUMBERS, bend_pair, same_family
 
@@ -143,7 +143,3 @@ class Conditions:
         frame.createOrReplaceTempView(view)
         self.before[name] = (value, inner)
         return F.expr(f"`{name}` in (select * from `{view}`)")
-
-
-def strict_column(expr: ast.Expr, bind: Bind) -> Column:
-    return strict(expr, bind)[0]

@@ -150,17 +150,22 @@ class Mutations:
         # One pass makes the rows and counts them; they are few or many, so they are written and not collected.
         changed = self.store.write(table, made)
         if not changed.rows:
+            self.store.drop(changed.path)
             return table, 0
         made = self.spark.read.schema(made.schema).parquet(changed.path)
-        self.check_rows(table, made, [c for c in table.columns if c.field in assigned])
+        try:
+            return self.placed(table, made, [c for c in table.columns if c.field in assigned]), changed.rows
+        finally:
+            self.store.drop(changed.path)
+
+    def placed(self, table: Table, made: DataFrame, assigned: list[StoredColumn]) -> Table:
+        """The table with changed rows in place of their old ones, once they have passed the constraints."""
+        self.check_rows(table, made, assigned)
         rest = table.fields_frame(self.spark).join(made.select(RID), RID, "left_anti")
-        place = _renumbered(made, table.next_rid)
-        out = self.store.rewritten(table, rest.unionByName(place), table.next_rid + self.width(made))
-        return out.changed(slots=table.slots + changed.rows), changed.rows
-
-    def width(self, made: DataFrame) -> int:
-        low, high = made.agg(F.min(RID), F.max(RID)).first()
-        return high - low + 1
+        low, high, n = made.agg(F.min(RID), F.max(RID), F.count(F.lit(1))).first()
+        place = made.withColumn(RID, F.col(RID) - F.lit(low) + F.lit(table.next_rid))  # after all others, in their order
+        out = self.store.rewritten(table, rest.unionByName(place), table.next_rid + high - low + 1)
+        return out.changed(slots=table.slots + n)
 
     def check_rows(self, table: Table, made: DataFrame, assigned: list[StoredColumn]) -> None:
         """The first violation in the order of rows, then columns, then the table's CHECK."""
@@ -209,12 +214,6 @@ class _Kept:
         return ~F.coalesce(self.inner.column(node), F.lit(False))
 
 
-def _renumbered(made: DataFrame, next_rid: int) -> DataFrame:
-    """Changed rows after all others, in their order; the gaps between them stay."""
-    low = made.agg(F.min(RID)).first()[0]
-    return made.withColumn(RID, F.col(RID) - F.lit(low) + F.lit(next_rid))
-
-
 def guarded(run):
     """A statement's work, with Spark's errors as the engine's."""
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,7 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class SegmentStore:
-    """Makes segments below a folder; every one has a name of its own, so none is ever overwritten."""
+    """Makes segments below a folder; every one has a name of its own, so none is ever overwritten.
+
+    Without a folder they go to the shared one and are deleted when the process ends.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self._folder = spark, folder
@@ -30,8 +34,14 @@ class SegmentStore:
     def folder(self) -> str:
         if self._folder is None:
             self._folder = f"{shared_folder(self.spark)}/quern-{uuid.uuid4().hex}"
+            _unnamed.append(self)
         return self._folder
 
+    def drop(self, path: str) -> None:
+        """Delete what was written below a path; only for what no table names."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
     def write(self, table: Table, frame: DataFrame) -> Segment:
         """A frame of RID and fields as a segment."""
         path = f"{self.folder}/{table.uid}/{uuid.uuid4().hex}"
@@ -57,3 +67,15 @@ class SegmentStore:
         frame = table.fields_frame(self.spark)
         parts = max(1, -(-table.rows // 1_000_000))
         return self.rewritten(table, frame.repartitionByRange(parts, F.col(RID)).sortWithinPartitions(RID))
+
+
+_unnamed: list[SegmentStore] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for store in _unnamed:
+        try:
+            store.drop(store.folder)
+        except Exception:  # noqa: BLE001 - the JVM may have gone already
+            return
