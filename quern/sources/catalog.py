@@ -9,8 +9,10 @@ value of the table; whoever holds the old one still reads it.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -136,6 +138,30 @@ class ExternalTable:
         return Table.column(self, name)
 
 
+class FileTable:
+    """A read-only table whose files are looked at when it is first asked for."""
+
+    stored = False
+    check = None
+
+    def __init__(self, name: str, read: Callable[[], DataFrame]):
+        self.name, self._read = name, read
+
+    @functools.cached_property
+    def _table(self) -> ExternalTable:
+        return external(self.name, self._read())
+
+    @property
+    def columns(self) -> tuple[StoredColumn, ...]:
+        return self._table.columns
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return self._table.data
+
+    def column(self, name: str) -> StoredColumn:
+        return Table.column(self, name)
+
+
 def external(name: str, data: DataFrame) -> ExternalTable:
     """A DataFrame as a table: whole numbers, floats, texts and dates go by their types, timestamps as dates.
 
