@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
 ROWS_A_BATCH = 1000
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Make the batches of texts that Python workers get small, where their size is still Spark's default."""
+_shipped: set[str] = set()  # applications whose workers can import this package
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before Python workers get texts: send them this package, and make batches small where their size is still Spark's default."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="quern-")) / "quern_package.zip", "w") as package:
+            for file in sorted(home.rglob("*.py")):
+                package.write(file, file.relative_to(home.parent))
+        context.addPyFile(package.filename)
+        _shipped.add(context.applicationId)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") in (None, "10000"):
         spark.conf.set(name, str(ROWS_A_BATCH))

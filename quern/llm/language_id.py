@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bound_batches, texts
+from quern.llm.common import prepare, texts
 
 PROFILE = 400  # n-grams of a profile and of a document
 UNKNOWN = "und"
@@ -186,7 +186,7 @@ def identify(
     is taken.  A null `training` counts as held out.  Repeated rows get equal
     results; other columns are not read; an empty table gives an empty result.
     """
-    bound_batches(spark)
+    prepare(spark)
     train_on = F.coalesce(training, F.lit(False))
     shared = spark.sparkContext.broadcast(Profiles(train(docs.where(train_on), lang_col, text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (~train_on).alias("held_out"))

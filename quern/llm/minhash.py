@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bit_filter, bound_batches, filter_bits, mix64, parted, passing, raw_texts
+from quern.llm.common import Scratch, bit_filter, prepare, filter_bits, mix64, parted, passing, raw_texts
 from quern.llm.components import components
 
 REGISTERS = 128
@@ -331,7 +331,7 @@ def near_duplicates(
     and keeps a null component.  Other columns are not read; an empty table
     gives an empty result.
     """
-    bound_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = scratch.table(texts.mapInArrow(_sketches(words), _SKETCH.format(id="long")), "sketched")

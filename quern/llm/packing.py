@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
-from quern.llm.common import bound_batches, texts
+from quern.llm.common import prepare, texts
 
 CAPACITY = 2048
 # Tokens of padding that a full bin of a class may have.
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
     id is kept; repeated rows are packed each for itself.  Other columns are
     not read; an empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_pack(tokenizer, kind, end_id, capacity), _SCHEMA.format(id=id_type))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bound_batches, texts
+from quern.llm.common import prepare, texts
 from quern.llm.linear import Logistic, sigmoid
 
 # Rows that the classifier is fitted on at most, chosen by the hash of their ids.
@@ -194,7 +194,7 @@ def score(
     rows that share an id.  Other columns are not read; an empty table gives an
     empty result.
     """
-    bound_batches(spark)
+    prepare(spark)
     training = F.lit(True) if training is None else training
     shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, categories, numbers, training))
     rows = _rows(docs, id_col, text_col, categories, numbers)
@@ -228,7 +228,7 @@ def keep_good(
     numbers: tuple[str, ...] = NUMBERS,
 ) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with all their columns, in one pass without a shuffle."""
-    bound_batches(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, categories, numbers, F.lit(True)))
     at = docs.columns.index
     return docs.mapInArrow(_keep(shared, docs.columns, at(text_col), [at(c) for c in categories], [at(c) for c in numbers], threshold), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bound_batches, texts
+from quern.llm.common import prepare, texts
 from quern.llm.forest import Forest
 from quern.llm.toxicity import LetterModel, letter_counts
 
@@ -198,7 +198,7 @@ def scan(
     repeated rows give their findings each.  Other columns are not read; an
     empty table gives an empty result.
     """
-    bound_batches(spark)
+    prepare(spark)
     words = dictionary(docs, text_col)
     judge = Judge(words, LetterModel(letter_counts(docs, text_col)))
     if findings is None:

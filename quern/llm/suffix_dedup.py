@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bit_filter, bits_to_numpy, bound_batches, filter_bits, in_bits, mix64, parted, raw_texts
+from quern.llm.common import Scratch, bit_filter, bits_to_numpy, prepare, filter_bits, in_bits, mix64, parted, raw_texts
 
 LENGTH = 400
 # Contexts that are sorted at once.
@@ -288,7 +288,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     A null id is kept.  Other columns are not read; an empty table gives an
     empty result.
     """
-    bound_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "repeats")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

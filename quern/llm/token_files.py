@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
-from quern.llm.common import Scratch, bound_batches, texts
+from quern.llm.common import Scratch, prepare, texts
 
 SEQUENCE = 2048
 # Tokens after which a shard is closed, at the end of a document.
@@ -144,7 +144,7 @@ def write_token_files(
     share an id follow each other in the order of their texts' hashes.  Other
     columns are not read; an empty table gives no shard.
     """
-    bound_batches(spark)
+    prepare(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

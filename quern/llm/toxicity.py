@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bound_batches, texts
+from quern.llm.common import prepare, texts
 from quern.llm.linear import Logistic
 
 # Labelled rows that lexicon and score are fitted on at most, the first by the hash of their ids.
@@ -232,7 +232,7 @@ def score(
     everything scores 0.  Repeated rows get equal results; other columns are
     not read; an empty table gives an empty result.
     """
-    bound_batches(spark)
+    prepare(spark)
     held_out = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(True))
     model = LetterModel(letter_counts(docs, text_col))
     letters = spark.sparkContext.broadcast(model)
