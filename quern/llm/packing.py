@@ -87,7 +87,7 @@ class Packer:
 
 
 _SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_ROWS = 4096  # of a batch that is handed on
+_ROWS = 1024  # of a batch that is handed on
 
 
 def _pack(path: str, kind: str, end_id: int, capacity: int):

@@ -20,7 +20,7 @@ from itertools import islice
 import numpy as np
 
 # Entries that the caches of words and of pieces hold unless told otherwise, and characters of the longest of them.
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 120_000, 64
 
 # Blanks in str that aren't in the tokenizers, and the other way round.
 _ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
