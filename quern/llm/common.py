@@ -184,7 +184,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts of a batch without copies; null is an empty text."""
     array = batch.column(column)
-    if not pa.types.is_large_string(array.type):
+    if not (pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)):
         array = array.cast(pa.large_string())
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from quern.llm.common import Scratch, bit_filter, bits_to_numpy, prepare, filter
 
 LENGTH = 400
 # Contexts that are sorted at once.
-COLLECTION = 1 << 15
+COLLECTION = 1 << 14
 # An anchor of more contexts than this goes by the digests of all strings round it.
 LARGE_BUCKET = 1 << 16
 _BLOCK = 1 << 19  # bytes whose anchors are sought at once
@@ -205,33 +206,36 @@ def _collections(length: int):
     def spans(table: pa.Table) -> pa.RecordBatch:
         k = length // 2
         side, width = length - k, 2 * length - k
-        anchor = table.column("anchor").to_numpy()
+        rows = table.combine_chunks()
+        anchor, before = rows.column("anchor").to_numpy(), rows.column("before").to_numpy()
         bucket = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
+        raw, offsets = raw_texts(pa.RecordBatch.from_arrays([rows.column("context").combine_chunks().cast(pa.large_binary())], ["text"]))
+        sizes = np.diff(offsets)
         with tempfile.TemporaryFile() as file:
             symbols = np.memmap(file, dtype=np.uint16, mode="w+", shape=(width, len(anchor)))
-            before = table.column("before").to_numpy()
             for at in range(0, len(anchor), 1024):
                 part = np.full((min(1024, len(anchor) - at), width), _GAP, dtype=np.uint16)
-                for i, (context, left) in enumerate(zip(table.column("context").slice(at, 1024).to_pylist(), before[at : at + 1024].tolist(), strict=True)):
-                    part[i, side - left : side - left + len(context)] = np.frombuffer(context, dtype=np.uint8)
+                for i in range(len(part)):
+                    left = side - before[at + i]
+                    part[i, left : left + sizes[at + i]] = raw[offsets[at + i] : offsets[at + i + 1]]
                 symbols[:, at : at + 1024] = part.T
             first, last = column_matches(symbols, bucket, length)
             del symbols
-        out: list[tuple[bytes, int, int]] = []
-        starts, sha = table.column("starts").to_pylist(), table.column("sha").to_pylist()
-        sizes = np.asarray([len(x) for x in table.column("context").to_pylist()])
-        several = np.asarray([len(x) > 1 for x in starts]) & (sizes >= length)  # whatever lies in it repeats
+        several = (pc.list_value_length(rows.column("starts")).to_numpy() > 1) & (sizes >= length)  # whatever lies in it repeats
         first = np.where(several, side - before, first)
         last = np.where(several, side - before + sizes - length, last)
-        for i in np.flatnonzero(first >= 0):
+        hit = np.flatnonzero(first >= 0)
+        found = rows.select(["sha", "starts"]).take(pa.array(hit))
+        out: list[tuple[bytes, int, int]] = []
+        for i, sha, starts in zip(hit, found.column("sha").to_pylist(), found.column("starts").to_pylist(), strict=True):
             begin = end = -1
-            for start in starts[i]:  # in order, so neighbours can be joined
+            for start in starts:  # in order, so neighbours can be joined
                 a, b = start - side + int(first[i]), start - side + int(last[i]) + length
                 if a > end >= 0:
-                    out.append((sha[i], begin, end))
+                    out.append((sha, begin, end))
                     begin = a
                 begin, end = (a if begin < 0 else begin), b
-            out.append((sha[i], begin, end))
+            out.append((sha, begin, end))
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["sha", "from", "to"])
 
