@@ -41,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
     with common.owned("pipeline"):
-        return packing.pack(docs, tokens.public("word_bpe_49k.json"), kind="word", end_id=1)
+        return packing.pack(docs, tokens.public("word_bpe_49k.json"), kind="word", end_id=1, cached=100_000)
 
 
 STAGES = [("quality", quality_classifier), ("exact", exact), ("near", near), ("benchmark", benchmark), ("packing", pack)]
