@@ -1,4 +1,4 @@
-"""A small ridge logistic regression, fitted on the driver on bounded samples."""
+"""A small ridge logistic regression, fitted on rows in memory or by sums over parts of them."""
 
 from __future__ import annotations
 
@@ -16,23 +16,33 @@ class Logistic:
         self.ridge, self.steps = ridge, steps
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
-        self.scale = np.where(self.scale > 1e-9, self.scale, 1.0)
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        penalty = np.full(z.shape[1], self.ridge)
-        penalty[-1] = 1e-6
-        w = np.zeros(z.shape[1])
+        self.start(x.mean(axis=0), x.std(axis=0))
         for _ in range(self.steps):
-            p = sigmoid(z @ w)
-            slope = z.T @ (p - y) + penalty * w
-            curve = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(curve, slope)
-            w -= step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
-            if np.abs(step).max() < 1e-6:
+            if self.step(self.sums(x, y)) < 1e-6:
                 break
-        self.weights = w
         return self
 
+    def start(self, mean: np.ndarray, scale: np.ndarray) -> Logistic:
+        """Before the first step, from zero: Newton steps from another fit's weights may not converge."""
+        self.mean, self.scale = mean, np.where(scale > 1e-9, scale, 1.0)
+        self.weights = np.zeros(len(mean) + 1)
+        return self
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Slope and curvature over these rows; those of several parts of the rows add up."""
+        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+        p = sigmoid(z @ self.weights)
+        return np.concatenate([z.T @ (p - y), ((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).ravel()])
+
+    def step(self, sums: np.ndarray) -> float:
+        """One Newton step, given the sums over all rows; how far it would go."""
+        n = len(self.weights)
+        penalty = np.full(n, self.ridge)
+        penalty[-1] = 1e-6
+        step = np.linalg.solve(sums[n:].reshape(n, n) + np.diag(penalty), sums[:n] + penalty * self.weights)
+        self.weights = self.weights - step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
+        return float(np.abs(step).max())
+
     def decision(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 

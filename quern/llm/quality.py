@@ -1,27 +1,32 @@
 """A quality classifier by co-training of two views of a document.
 
 One view sees the text, the other the metadata.  Each starts from the labelled
-rows, then over several rounds labels the unlabelled rows of which it is most
-certain for the other.  Both are calibrated on labelled rows that neither has
-seen, and the calibrated views are combined into one score.
+rows, then over several rounds labels all unlabelled rows of which it is certain
+for the other.  Both are calibrated on labelled rows that neither has seen, and
+the calibrated views are combined into one score.
+
+Unlabelled rows stay on the executors, however many: their features are written
+once, each Newton step is a pass that brings back sums, and which rows a view
+has labelled follows from the models of the rounds before.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepare, texts
+from quern.llm.common import Scratch, prepare, texts
 from quern.llm.linear import Logistic, sigmoid
 
-# Rows that the classifier is fitted on at most, chosen by the hash of their ids.
-MAX_LABELLED, MAX_UNLABELLED = 20_000, 10_000
-ROUNDS, CONFIDENT, A_ROUND = 4, 0.97, 300
+# Labelled rows that the classifier is fitted on at most, chosen by the hash of their ids; unlabelled rows all count.
+MAX_LABELLED = 20_000
+ROUNDS, CONFIDENT = 4, 0.97
+LEAST_STEP = 1e-4  # of a weight, in a Newton step over all rows
 CATEGORIES, NUMBERS = ("source", "lang"), ("n_chars",)
 _BUCKETS = 64  # that the values of a category are hashed into
 
@@ -74,47 +79,131 @@ def _views(batch: pa.RecordBatch, categories: int, numbers: int) -> tuple[np.nda
     return np.stack([text_features(t) for t in texts(batch)]), np.stack(meta)
 
 
-def _features(categories: int, numbers: int):
+def _features(categories: int, numbers: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 text, meta = _views(batch, categories, numbers)
                 packed = [pa.array([r.tobytes() for r in view], pa.binary()) for view in (text, meta)]
-                yield pa.RecordBatch.from_arrays([batch.column("label"), *packed], ["label", "text_view", "meta_view"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), *packed], [key, "text_view", "meta_view"])
 
     return run
 
 
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The features in a column, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), -1).astype(float)
+
+
+Views = tuple[np.ndarray, np.ndarray]
+# What a pass over the rows dealt to a view sums up: moments round a centre, a model's slope and curvature, or nothing.
+Ask = np.ndarray | Logistic | None
+# (models of each round, what to sum for each view) -> the sums over all unlabelled rows
+Pool = Callable[[list[list[Logistic]], list[Ask]], list[np.ndarray]]
+
+
+def _dealt(views: Views, past: list[list[Logistic]]) -> list[np.ndarray]:
+    """For each view the labels that the other has given unlabelled rows, -1 for none; a row is dealt in one round only."""
+    given, waiting = [np.full(len(views[0]), -1.0) for _ in views], np.ones(len(views[0]), dtype=bool)
+    for models in past:
+        p = [m.predict(v) for m, v in zip(models, views, strict=True)]
+        sure = [np.where(q >= CONFIDENT, 1.0, np.where(q <= 1 - CONFIDENT, 0.0, -1.0)) for q in p]
+        for k in (0, 1):
+            given[1 - k] = np.where(waiting & (sure[k] >= 0), sure[k], given[1 - k])
+        waiting &= (sure[0] < 0) & (sure[1] < 0)
+    return given
+
+
+def _asked(x: np.ndarray, y: np.ndarray, ask: Ask) -> np.ndarray:
+    if ask is None:
+        return np.zeros(0)
+    if isinstance(ask, Logistic):
+        return ask.sums(x, y)
+    z = x - ask
+    return np.concatenate([[len(x)], z.sum(axis=0), (z * z).sum(axis=0)])
+
+
+def _sum_free(views: Views, past: list[list[Logistic]], asks: list[Ask]) -> list[np.ndarray]:
+    return [_asked(v[g >= 0], g[g >= 0], ask) for v, g, ask in zip(views, _dealt(views, past), asks, strict=True)]
+
+
+def _pool(free: DataFrame) -> Pool:
+    """Sums over a table of features, made on the executors; a few rows of fixed size come back."""
+
+    def ask_all(past: list[list[Logistic]], asks: list[Ask]) -> list[np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: list[np.ndarray] = []
+            for batch in batches:
+                if batch.num_rows:
+                    found = _sum_free((_unpacked(batch.column("text_view")), _unpacked(batch.column("meta_view"))), past, asks)
+                    total = [a + b for a, b in zip(total, found, strict=True)] if total else found
+            yield packed(total)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield packed(added(r for batch in batches for r in batch.to_pylist()))
+
+        def packed(total: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()] if total else [], pa.binary()) for x in total or [np.zeros(0)] * 2], ["text_sums", "meta_sums"])
+
+        def added(rows) -> list[np.ndarray]:
+            total: list[np.ndarray] = []
+            for row in rows:
+                found = [np.frombuffer(row[c]) for c in ("text_sums", "meta_sums")]
+                total = [a + b for a, b in zip(total, found, strict=True)] if total else found
+            return total
+
+        form = "text_sums binary, meta_sums binary"
+        sums = added(free.mapInArrow(part, form).repartition(4).mapInArrow(add, form).collect())
+        return sums or [np.zeros(1)] * 2  # no rows at all
+
+    return ask_all
+
+
+def _refitted(own: list[np.ndarray], y: np.ndarray, past: list[list[Logistic]], pool: Pool, centres: list[np.ndarray], found: list[np.ndarray]) -> list[Logistic]:
+    """Both models on the labelled rows and on all that has been dealt to them; `found` has the moments of the latter."""
+    models = []
+    for x, centre, moments in zip(own, centres, found, strict=True):
+        n, first, second = np.split(moments + _asked(x, y, centre), [1, 1 + len(centre)])
+        models.append(Logistic().start(centre + first / n, np.sqrt(np.maximum(second / n - (first / n) ** 2, 0))))
+    asks: list[Ask] = list(models)
+    for _ in range(models[0].steps):
+        sums = pool(past, asks)
+        for k in (0, 1):
+            if asks[k] is not None and models[k].step(sums[k] + _asked(own[k], y, models[k])) < LEAST_STEP:
+                asks[k] = None
+        if asks == [None, None]:
+            break
+    return models
+
+
 class CoTrained:
     """Two views and their combination, fitted on labelled and unlabelled rows."""
 
-    def fit(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-        """`label` is 0, 1 or -1 for unlabelled; labelled rows are dealt to training and calibration in turn."""
+    def fit(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, pool: Pool | None = None) -> CoTrained:
+        """`label` is 0, 1 or -1 for unlabelled; labelled rows are dealt to training and calibration in turn.
+
+        `pool` sums over unlabelled rows that are elsewhere; without it they are those of label -1.
+        """
         known = np.flatnonzero(label >= 0)
         held = known[3::4] if len(known) >= 40 else known  # for calibration
         own = np.setdiff1d(known, held) if len(known) >= 40 else known
-        rest = np.flatnonzero(label < 0)
-        views = (text, meta)
-        rows = [own, own]
-        given = [label[own].astype(float), label[own].astype(float)]
-        self.models = [Logistic().fit(v[r], g) for v, r, g in zip(views, rows, given, strict=True)]
+        views, y = (text, meta), label[own].astype(float)
+        if pool is None:
+            rest = (text[label < 0], meta[label < 0])
+            pool = lambda past, asks: _sum_free(rest, past, asks)
+        self.models = [Logistic().fit(v[own], y) for v in views]
+        self.dealt, past = [0, 0], []
         for _ in range(rounds):
-            if not len(rest):
-                break
-            taken: set[int] = set()
-            for k in (0, 1):
-                p = self.models[k].predict(views[k][rest])
-                for sure, value in ((p >= CONFIDENT, 1.0), (p <= 1 - CONFIDENT, 0.0)):
-                    best = np.flatnonzero(sure)
-                    best = best[np.argsort(-np.abs(p[best] - 0.5), kind="stable")][:A_ROUND]
-                    rows[1 - k] = np.concatenate([rows[1 - k], rest[best]])
-                    given[1 - k] = np.concatenate([given[1 - k], np.full(len(best), value)])
-                    taken.update(rest[best].tolist())
-            if not taken:
+            past.append(self.models)
+            centres = [v[own].mean(axis=0) for v in views]
+            found = pool(past, centres)
+            dealt = [int(s[0]) for s in found]
+            if dealt == self.dealt:
                 break
-            rest = np.setdiff1d(rest, np.fromiter(taken, dtype=np.int64))
-            self.models = [Logistic().fit(v[r], g) for v, r, g in zip(views, rows, given, strict=True)]
-        raw = [m.decision(v[held])[:, None] for m, v in zip(self.models, views, strict=True)]
+            self.dealt = dealt
+            self.models = _refitted([v[own] for v in views], y, past, pool, centres, found)
+        views_held = [v[held] for v in views]
+        raw = [m.decision(v)[:, None] for m, v in zip(self.models, views_held, strict=True)]
         self.scales = [Logistic().fit(x, label[held].astype(float)) for x in raw]
         both = np.column_stack([s.decision(x) for s, x in zip(self.scales, raw, strict=True)])
         self.join = Logistic().fit(both, label[held].astype(float))
@@ -155,24 +244,29 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, categories: tuple[str, ..
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories: tuple[str, ...], numbers: tuple[str, ...], training: Column, label_col: str = "quality") -> CoTrained | Constant:
-    """Fit on at most MAX_LABELLED labelled and MAX_UNLABELLED unlabelled rows, the first by the hash of their ids.
+    """Fit on all unlabelled rows and at most MAX_LABELLED labelled ones, the first by the hash of their ids.
 
-    The ids of the sample are broadcast: at most 30,000 of them.  An id with
-    several labels counts with the largest; rows with a null id are left out.
+    The labelled sample is broadcast and comes to the driver; features of
+    unlabelled rows go to a scratch table.  An id with several labels counts
+    with the largest; rows with a null id are left out.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
-    free = ids.join(labels.select("doc_id"), "doc_id", "left_anti").where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_UNLABELLED)
-    chosen = known.unionByName(free.distinct().withColumn("label", F.lit(-1)))
-    rows = _rows(docs, id_col, text_col, categories, numbers).join(F.broadcast(chosen), "doc_id").drop("doc_id", "text_key")
-    found = rows.mapInArrow(_features(len(categories), len(numbers)), "label int, text_view binary, meta_view binary").toPandas()
+    all_ = _rows(docs, id_col, text_col, categories, numbers).drop("text_key")
+    rows = all_.join(F.broadcast(known), "doc_id").drop("doc_id")
+    found = rows.mapInArrow(_features(len(categories), len(numbers), "label"), "label int, text_view binary, meta_view binary").toPandas()
     label = found["label"].to_numpy()
-    if len({*label[label >= 0].tolist()}) < 2:
-        return Constant(float(label[label >= 0].max()) if (label >= 0).any() else 1.0)
-    views = [np.stack([np.frombuffer(x, dtype=np.float32) for x in found[c]]).astype(float) for c in ("text_view", "meta_view")]
+    if len({*label.tolist()}) < 2:
+        return Constant(float(label.max()) if len(label) else 1.0)
+    views = [_unpacked(pa.array(found[c], pa.binary())) for c in ("text_view", "meta_view")]
     order = np.lexsort((views[0][:, 0], [zlib.crc32(x) for x in found["text_view"]]))  # whatever order the rows arrived in
-    return CoTrained().fit(views[0][order], views[1][order], label[order])
+    id_type = all_.schema["doc_id"].dataType.simpleString()
+    free = all_.where(F.col("doc_id").isNotNull() & training).mapInArrow(_features(len(categories), len(numbers), "doc_id"), f"doc_id {id_type}, text_view binary, meta_view binary")
+    scratch = Scratch(docs.sparkSession, "quality")
+    free = scratch.table(free.join(labels.select("doc_id"), "doc_id", "left_anti").drop("doc_id"), "free")
+    model = CoTrained().fit(views[0][order], views[1][order], label[order], pool=_pool(free))
+    scratch.close()
+    return model
 
 
 def score(

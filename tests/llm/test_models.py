@@ -101,6 +101,35 @@ def test_co_training_uses_unlabelled_rows():
     assert right[0] > max(right[1:3]) and right[0] > 0.92 and right[0] >= right[3] - 0.01
 
 
+def test_every_confident_row_is_exchanged():
+    """A feature that only unlabelled rows have, none of them among the few hundred surest, is learned about."""
+    chance = np.random.default_rng(6)
+    n = 9000
+    y = chance.integers(0, 2, n)
+    rare = np.arange(n) % 90 == 89
+    text = (2 * y[:, None] - 1) * np.where(rare, 2.0, 3.0)[:, None] + chance.normal(0, 0.3, (n, 2))
+    meta = np.column_stack([y + chance.normal(0, 0.6, n), rare & (y == 1)]).astype(float)
+    model = quality.CoTrained().fit(text, meta, np.where((np.arange(n) < 400) & ~rare, y, -1))
+    assert model.dealt[1] > 8000 and model.models[1].weights[1] > 0.01
+
+
+def test_unlabelled_rows_on_the_executors(spark):
+    """As many rows are dealt by the sums over tasks as with all features in memory; labelled, held-out and null ids stay out."""
+    chance = random.Random(7)
+    rows = [(i, " ".join(chance.choices(["good", "words", "here", "#"], k=30)) if i % 2 else " ".join(chance.choices(["#$%", "good", "&&&&", "."], k=30)), f"s{chance.randrange(4)}", "en", i) for i in range(1500)]
+    docs = spark.createDataFrame([*rows, (None, "x", None, None, None)], "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(i, None) for i in range(120, 200)], "doc_id long, quality int")
+    model = quality.train(docs, labels, "doc_id", "text", quality.CATEGORIES, quality.NUMBERS, F.col("doc_id") < 1400)
+    used = [r for r in rows if r[0] < 120 or 200 <= r[0] < 1400]
+    text = np.stack([quality.text_features(r[1]) for r in used]).astype(float)
+    meta = np.stack([quality.metadata_features([r[2], r[3]], [float(r[4])]) for r in used]).astype(float)
+    label = np.asarray([r[0] % 2 if r[0] < 120 else -1 for r in used])
+    order = np.lexsort((text[:, 0], [__import__("zlib").crc32(t.astype(np.float32).tobytes()) for t in text]))
+    alone = quality.CoTrained().fit(text[order], meta[order], label[order])
+    assert model.dealt == alone.dealt and max(model.dealt) > 600
+    assert ((model.predict(text, meta)[1] > 0.5) == (alone.predict(text, meta)[1] > 0.5)).mean() > 0.95
+
+
 # ---- toxicity
 
 
