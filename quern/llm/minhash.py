@@ -26,8 +26,8 @@ BAND = 4  # registers a band: at 0.8 a pair misses all 32 bands with probability
 BASE, RATE = 1.1, 20.0  # of the registers' scale
 TOP = 255  # the largest register
 # A pair is dropped if similarities below the threshold are e**MARGIN times likelier than any from it up;
-# that happens to one pair in 100,000 that just reaches it.
-MARGIN = 9.0
+# that happens to about six pairs in 100,000,000 that just reach it.
+MARGIN = 14.0
 # A bucket is compared in squares of so many members.
 BLOCK = 1024
 # Bytes of text that are hashed at once.

@@ -105,3 +105,10 @@ def test_sketches_merge_and_estimate():
             kept += is_near and ok
             dropped += not is_near and not ok
     assert kept == 60 and dropped == 60
+
+
+@pytest.mark.parametrize(("apart", "stays"), [(22, True), (23, True), (25, True), (30, False)])
+def test_only_hopeless_pairs_are_dropped_unseen(apart, stays):
+    """Sketches this far apart are rare, but not impossible, at a similarity of 0.8."""
+    n, k = np.asarray([450.0]), np.asarray([apart])
+    assert minhash.plausible(k, k, n, n, 0.8)[0] == stays
