@@ -82,8 +82,11 @@ class Judge:
         kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in text]
         letters = sum(k < 2 for k in kinds)
         entropy = -sum(k / n * math.log2(k / n) for k in Counter(text).values())
-        codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in low[:256]]
-        steps = [self.letters.log[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False) if c]
+        codes = bytes(ord(c) - 96 if "a" <= c <= "z" else 0 for c in low)
+        steps, total = 0, 0.0
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            if c:
+                steps, total = steps + 1, total + self.letters.log[a][b][c]
         return [
             math.log(n),
             entropy,
@@ -92,7 +95,7 @@ class Judge:
             kinds.count(1) / n,
             kinds.count(3) / n,
             sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-            sum(steps) / len(steps) if steps else -4.0,
+            total / steps if steps else -4.0,
             self.covered(low) / max(1, letters),
             float(all(c in "0123456789abcdef-" for c in low)),
             float(text.startswith(PREFIXES)),

@@ -209,6 +209,12 @@ def test_secrets(spark):
     assert secret_scan.scan(spark, docs.limit(0)).collect() == []
 
 
+def test_all_characters_of_a_candidate_count(letters):
+    judge, head = secret_scan.Judge(frozenset(), letters), "the night is bright".replace(" ", "") * 20
+    word, noise = (judge.features(head + tail * 100, "", "", "")[7] for tail in ("night", "xqzvk"))
+    assert len(head) > 256 and word > noise + 0.5
+
+
 def test_secrets_from_labelled_findings(spark):
     """Reviewed findings decide, here against what the rules would say."""
     chance = random.Random(5)
