@@ -125,6 +125,15 @@ class LetterModel:
             best = after
         return max(((s + self.log[a][b][_EDGE] if word else s - 30.0, word) for (a, b), (s, word) in best.items()))[1]
 
+    def readable(self, word: str) -> bool:
+        """Whether the letters follow each other as in words: likelier than letters by chance."""
+        a = b = _EDGE
+        total = 0.0
+        for z in [*map(_code, word), _EDGE]:
+            total += self.log[a][b][z]
+            a, b = b, z
+        return bool(word) and total > -(len(word) + 1) * np.log(_LETTERS)
+
 
 class _Words(dict):
     """Words meant by a token; looked up once and forgotten when there are too many."""
@@ -140,6 +149,8 @@ class _Words(dict):
         if letters and (_RUN.search(token) or _SIGN.search(plain) or (token != plain and any(c in LOOKALIKES for c in token))):
             words.update((self.model.restore(token), self.model.restore(plain)))
             words.update(w for w in re.split(r"[^\w]+", plain) if len(w) > 1)
+        elif not letters and sum(c in LOOKALIKES for c in token) > 1:
+            words.update(w for w in {self.model.restore(token), self.model.restore(plain)} if self.model.readable(w))
         out = tuple(sorted(w for w in words if w))
         if len(token) <= 64:
             if len(self) >= 200_000:

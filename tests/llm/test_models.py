@@ -151,6 +151,15 @@ def test_restored(letters, seen, meant):
     assert meant in toxicity._Words(letters)[seen]
 
 
+def test_words_without_any_letter():
+    text, counts = "the ass and the boss pass the grass to a lass " * 50, np.zeros(28**3)
+    for part in toxicity._count_letters(iter([pa.RecordBatch.from_pydict({"text": [text]})])):
+        counts[part.column("at").to_numpy()] += part.column("n").to_numpy()
+    words = toxicity._Words(toxicity.LetterModel(counts.reshape(28, 28, 28)))
+    assert "ass" in words["@$$"] and "ass" in words["455"] and "boss" in words["80$5"]
+    assert words["9041962"] == ("9041962",) and words["..."] == words["#"] == ()
+
+
 def test_read(letters):
     words = toxicity.Reader(letters).read("You i d i o t, m-o-r-o-n! The trash&&& ###")
     assert {"you", "idiot", "moron", "trash", "the"} <= words
