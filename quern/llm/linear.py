@@ -9,6 +9,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+_ROWS = 2048  # that are looked at at once, in 64 bits whatever the features have
+
+
 class Logistic:
     """Weights over standardised features, by Newton steps."""
 
@@ -16,7 +19,8 @@ class Logistic:
         self.ridge, self.steps = ridge, steps
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.start(x.mean(axis=0), x.std(axis=0))
+        mean = x.mean(axis=0, dtype=float)
+        self.start(mean, np.sqrt(sum(np.square(x[at : at + _ROWS] - mean).sum(axis=0) for at in range(0, len(x), _ROWS)) / len(x)))
         for _ in range(self.steps):
             if self.step(self.sums(x, y)) < 1e-6:
                 break
@@ -30,9 +34,14 @@ class Logistic:
 
     def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Slope and curvature over these rows; those of several parts of the rows add up."""
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        p = sigmoid(z @ self.weights)
-        return np.concatenate([z.T @ (p - y), ((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).ravel()])
+        n = len(self.weights)
+        slope, curvature = np.zeros(n), np.zeros((n, n))
+        for at in range(0, len(x), _ROWS):
+            z = np.column_stack([(x[at : at + _ROWS] - self.mean) / self.scale, np.ones(len(x[at : at + _ROWS]))])
+            p = sigmoid(z @ self.weights)
+            slope += z.T @ (p - y[at : at + _ROWS])
+            curvature += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+        return np.concatenate([slope, curvature.ravel()])
 
     def step(self, sums: np.ndarray) -> float:
         """One Newton step, given the sums over all rows; how far it would go."""

@@ -90,9 +90,10 @@ def _features(categories: int, numbers: int, key: str):
     return run
 
 
-def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """The features in a column, one row each."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), -1).astype(float)
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The features in a column, one row each: a view of the column's bytes, since all rows have one width."""
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]].view(np.float32).reshape(len(column), -1)
 
 
 Views = tuple[np.ndarray, np.ndarray]
@@ -254,17 +255,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, catego
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     all_ = _rows(docs, id_col, text_col, categories, numbers).drop("text_key")
     rows = all_.join(F.broadcast(known), "doc_id").drop("doc_id")
-    found = rows.mapInArrow(_features(len(categories), len(numbers), "label"), "label int, text_view binary, meta_view binary").toPandas()
-    label = found["label"].to_numpy()
+    found = rows.mapInArrow(_features(len(categories), len(numbers), "label"), "label int, text_view binary, meta_view binary").toArrow()
+    label = found.column("label").to_numpy()
     if len({*label.tolist()}) < 2:
         return Constant(float(label.max()) if len(label) else 1.0)
-    views = [_unpacked(pa.array(found[c], pa.binary())) for c in ("text_view", "meta_view")]
-    order = np.lexsort((views[0][:, 0], [zlib.crc32(x) for x in found["text_view"]]))  # whatever order the rows arrived in
+    views = [_unpacked(found.column(c).combine_chunks()) for c in ("text_view", "meta_view")]  # of 32 bits, some 900 bytes a row
+    order = np.lexsort((label, *([zlib.crc32(r) for r in view] for view in views)))  # whatever order the rows arrived in
+    views = [view[order] for view in views]
+    del found
     id_type = all_.schema["doc_id"].dataType.simpleString()
     free = all_.where(F.col("doc_id").isNotNull() & training).mapInArrow(_features(len(categories), len(numbers), "doc_id"), f"doc_id {id_type}, text_view binary, meta_view binary")
     scratch = Scratch(docs.sparkSession, "quality")
     free = scratch.table(free.join(labels.select("doc_id"), "doc_id", "left_anti").drop("doc_id"), "free")
-    model = CoTrained().fit(views[0][order], views[1][order], label[order], pool=_pool(free))
+    model = CoTrained().fit(*views, label[order], pool=_pool(free))
     scratch.close()
     return model
 
