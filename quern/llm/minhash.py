@@ -11,7 +11,9 @@ the threshold up explains them.  The rest is confirmed on the full sets.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,101 +32,117 @@ TOP = 255  # the largest register
 MARGIN = 14.0
 # A bucket is compared in squares of so many members.
 BLOCK = 1024
-# Bytes of text that are hashed at once.
+# Bytes of text that are looked at at once.
 CHUNK = 1 << 19
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_ODD = 0x9E3779B97F4A7C15  # multiplier of the polynomial word hash
+_BLANKS = b" \t\n\r\x0b\x0c"
+_ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+# Distinct words that a task remembers; beyond that it forgets all between two blocks.
+HELD_WORDS = 1 << 18
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_ODD, _ODD_INVERSE):
-        p = np.full(n + 1, base, dtype=np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+def split_words(raw: bytes) -> list[bytes]:
+    """The words of a text, A-Z in lower case; both work on ASCII alone here, and these are the contract's blanks."""
+    return raw.lower().split()
 
 
-class WordHasher:
-    """64-bit hashes of the blank-separated words of bytes, A-Z in lower case."""
+class WordTable:
+    """Words as numbers, exact within a task, with a cryptographic 64-bit digest of each."""
 
     def __init__(self) -> None:
-        self.up, self.down = _powers(CHUNK)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.digests = np.zeros(1024, dtype=np.uint64)
 
-    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start of each word, hash of each word) of the bytes, in blocks that end at a blank."""
+    def of(self, raw: bytes) -> np.ndarray:
+        """The numbers of the words of a text, which is looked at in blocks that end at a blank."""
         if len(raw) <= CHUNK:
             return self._block(raw)
-        starts, hashes, at = [], [], 0
+        parts, at = [], 0
         while at < len(raw):
-            end = min(len(raw), at + CHUNK)
-            if end < len(raw):
-                blank = np.flatnonzero(_BLANK[raw[at:end]])
-                while not len(blank) and end < len(raw):  # one word longer than a block
-                    end = min(len(raw), end + CHUNK)
-                    blank = np.flatnonzero(_BLANK[raw[at:end]])
-                end = at + int(blank[-1]) + 1 if len(blank) else end
-            s, h = self._block(raw[at:end])
-            starts.append(s + at)
-            hashes.append(h)
+            end = at + CHUNK
+            while end < len(raw):
+                last = max(raw.rfind(bytes([c]), at, end) for c in _BLANKS)
+                if last >= 0:
+                    end = last + 1
+                    break
+                end += CHUNK  # one word longer than a block
+            parts.append(self._block(raw[at:end]))
             at = end
-        return np.concatenate(starts), np.concatenate(hashes)
-
-    def _block(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(raw) > len(self.up) - 1:
-            self.up, self.down = _powers(len(raw))
-        inside = np.zeros(len(raw) + 2, dtype=np.int8)
-        inside[1:-1] = ~_BLANK[raw]
-        edge = np.diff(inside)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=total[1:])
-            return starts, mix64((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
-
-def _shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: WordHasher, words: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles; of fewer words, of the whole sequence."""
+        return np.concatenate(parts)
+
+    def _block(self, raw: bytes) -> np.ndarray:
+        found = split_words(raw)
+        try:
+            return np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+        except KeyError:
+            for word in found:
+                if word not in self.numbers:
+                    if len(self.words) == len(self.digests):
+                        self.digests = np.concatenate([self.digests, np.zeros_like(self.digests)])
+                    self.digests[len(self.words)] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+                    self.numbers[word] = len(self.words)
+                    self.words.append(word)
+            return np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+
+
+class ShingleSet(NamedTuple):
+    hashes: np.ndarray  # distinct, sorted, 64 bits each
+    size: int  # of the set of shingles itself
+    sha: bytes  # SHA-256 of all its shingles, word by word, or empty
+
+
+def _shingle_sets(raw: np.ndarray, offsets: np.ndarray, table: WordTable, words: int, signed: bool = False) -> Iterator[ShingleSet]:
+    """The set of each text; of fewer words, the whole sequence as one shingle."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = i + 1
         while j < n and offsets[j + 1] - offsets[i] <= CHUNK:
             j += 1
-        starts, hashes = _joined_words(raw, offsets, i, j, hasher)
-        cut = np.searchsorted(starts, offsets[i : j + 1])
+        if len(table.words) > HELD_WORDS:
+            table.forget()
+        parts = [table.of(raw[a:b].tobytes()) for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
+        cut = np.cumsum([0, *map(len, parts)])
+        numbers = np.concatenate(parts)
+        digests = table.digests[numbers]
         with np.errstate(over="ignore"):
-            long = hashes[: max(0, len(hashes) - words + 1)].copy()
+            long = digests[: max(0, len(digests) - words + 1)].copy()
             for k in range(1, words):
-                long = mix64(long * np.uint64(_ODD) + hashes[k : k + len(long)])
+                long = mix64(long * np.uint64(_ODD) + digests[k : k + len(long)])
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if b - a >= words:
-                    yield np.unique(long[a : b - words + 1])
+                    yield _set_of(table, numbers[a:b], long[a : b - words + 1], words, signed)
                 elif b > a:
                     short = np.full(1, b - a, dtype=np.uint64)
-                    for h in hashes[a:b]:
+                    for h in digests[a:b]:
                         short = mix64(short * np.uint64(_ODD_INVERSE) + h)
-                    yield short
+                    yield _set_of(table, numbers[a:b], short, int(b - a), signed)
                 else:
-                    yield np.zeros(0, dtype=np.uint64)
+                    yield ShingleSet(np.zeros(0, dtype=np.uint64), 0, b"")
         i = j
 
 
-def _joined_words(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Words of texts i to j, whose bytes lie side by side; a blank is put between them so that no word spans two."""
-    part = raw[offsets[i] : offsets[j]]
-    if j == i + 1:
-        starts, hashes = hasher.words(part)
-        return starts + offsets[i], hashes
-    inner = offsets[i + 1 : j] - offsets[i]
-    starts, hashes = hasher.words(np.insert(part, inner, 0x20))
-    moved = np.searchsorted(inner + np.arange(len(inner)), starts)  # blanks put in before each word
-    return starts - moved + offsets[i], hashes
+def _set_of(table: WordTable, numbers: np.ndarray, hashes: np.ndarray, words: int, signed: bool) -> ShingleSet:
+    """The set of the shingles that begin at each of `hashes`; shingles count as one only if their words are the same."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    again = np.flatnonzero(~fresh)
+    here, before = order[again], order[again - 1]
+    if any((numbers[here + k] != numbers[before + k]).any() for k in range(words)):  # two shingles of one hash
+        exact = sorted({tuple(table.words[w] for w in numbers[i : i + words]) for i in range(len(hashes))})
+        flat: list[bytes] = [w for shingle in exact for w in shingle]
+        size = len(exact)
+    else:
+        firsts = order[fresh]
+        size = len(firsts)
+        flat = list(map(table.words.__getitem__, numbers[(firsts[:, None] + np.arange(words)).ravel()].tolist())) if signed else []
+    sha = hashlib.sha256(b" ".join([b"%d" % words, *flat])).digest() if signed else b""
+    return ShingleSet(ranked[fresh], size, sha)
 
 
 _MULTIPLIERS = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1))[None, :]
@@ -145,23 +163,20 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-_SKETCH = "doc_id {id}, n_shingles long, high long, low long, registers binary"
+_SKETCH = "doc_id {id}, n_shingles long, sha binary, registers binary"
 
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        table = WordTable()
         for batch in batches:
-            raw, offsets = raw_texts(batch)
-            sizes, high, low, sketch = [], [], [], []
-            for s in _shingle_sets(raw, offsets, hasher, words):
-                sizes.append(len(s))
-                with np.errstate(over="ignore"):
-                    high.append((mix64(s ^ np.uint64(_ODD)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
-                    low.append(np.bitwise_xor.reduce(mix64(s + np.uint64(_ODD))).astype(np.int64) if len(s) else np.int64(0))
-                sketch.append(registers(s).tobytes() if len(s) else b"")
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "registers"])
+            sizes, shas, sketch = [], [], []
+            for found in _shingle_sets(*raw_texts(batch), table, words, signed=True):
+                sizes.append(found.size)
+                shas.append(found.sha)
+                sketch.append(registers(found.hashes).tobytes() if found.size else b"")
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sha", "registers"])
 
     return run
 
@@ -212,9 +227,9 @@ def _hash_sets(words: int):
     """(rep, hashes): the set of a text as sorted 32-bit hashes; they only serve to rule pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        table = WordTable()
         for batch in batches:
-            sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in _shingle_sets(*raw_texts(batch), hasher, words)]
+            sets = [np.unique((s.hashes >> np.uint64(32)).astype(np.uint32)).tobytes() for s in _shingle_sets(*raw_texts(batch), table, words)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "hashes"])
 
     return run
@@ -283,13 +298,9 @@ def _squares(table: pa.Table, turns: np.ndarray, square) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _words(text: str) -> list[bytes]:
-    return bytes(_LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]).translate(bytes(0x20 if b else i for i, b in enumerate(_BLANK))).split(b" ")
-
-
 def shingles(text: str, words: int = 2) -> frozenset:
     """The full set of shingles of a text, as tuples of words in bytes."""
-    found = [w for w in _words(text) if w]
+    found = split_words((text or "").encode("utf-8", "surrogatepass"))
     if len(found) < words:
         return frozenset([tuple(found)] if found else [])
     return frozenset(zip(*(found[i:] for i in range(words)), strict=False))
@@ -336,16 +347,16 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = scratch.table(texts.mapInArrow(_sketches(words), _SKETCH.format(id="long")), "sketched")
 
-    # one representative of each distinct set
-    sets = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
+    # one representative of each distinct set: equal ones have the same words, by a digest of all of them that has no known collision
+    sets = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("sha", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     reps = scratch.table(sets, "sets")
     nodes = reps.dropDuplicates(["rep"])
 
     links = _links(scratch, texts, nodes, words, percent)
     labels = components(scratch, scratch.table(links.distinct(), "links"), "labels").withColumnRenamed("node", "rep")
 
-    named = reps.join(labels, "rep", "left").select("high", "low", "n_shingles", F.coalesce("label", "rep").alias("label"))
-    out = sketched.join(named, ["high", "low", "n_shingles"], "left")
+    named = reps.join(labels, "rep", "left").select("sha", F.coalesce("label", "rep").alias("label"))
+    out = sketched.join(named, "sha", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("label")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -77,17 +77,46 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
 
 
 def test_long_texts_and_words(monkeypatch):
-    monkeypatch.setattr(minhash, "CHUNK", 64)
-    small, hasher = minhash.WordHasher(), None
     text = " ".join(["ab", "c" * 200, "D"] * 30).encode()
-    cut = small.words(np.frombuffer(text, np.uint8))
-    monkeypatch.setattr(minhash, "CHUNK", 1 << 20)
-    hasher = minhash.WordHasher()
-    whole = hasher.words(np.frombuffer(text, np.uint8))
-    assert [x.tolist() for x in cut] == [x.tolist() for x in whole]
-    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "", "b", " a  b "]})
-    sets = list(minhash._shingle_sets(*minhash.raw_texts(batch), hasher, 2))
-    assert [len(s) for s in sets] == [1, 0, 0, 1, 1] and sets[0].tolist() == sets[4].tolist() != sets[3].tolist()
+    whole = minhash.WordTable()
+    numbers = whole.of(text)
+    assert [whole.words[k] for k in numbers] == text.lower().split()
+    monkeypatch.setattr(minhash, "CHUNK", 64)
+    assert minhash.WordTable().of(text).tolist() == numbers.tolist()
+    monkeypatch.setattr(minhash, "HELD_WORDS", 1)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "", "b", " a  b ", "x y z x y"]})
+    sets = list(minhash._shingle_sets(*minhash.raw_texts(batch), minhash.WordTable(), 2, signed=True))
+    assert [s.size for s in sets] == [1, 0, 0, 1, 1, 3] and sets[0].sha == sets[4].sha != sets[3].sha
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the multiplier."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"x {word} y {other}"), (4, f"x {other} y {word}"), (5, f"{word} {word} {other}")]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """Where all shingles hash alike, sizes and digests are still those of the words."""
+    monkeypatch.setattr(minhash, "mix64", lambda x: x * np.uint64(0))
+    for words in (2, 3):
+        texts = ["a b c d", "a b c a b c", "b c d a", "a b a b", "d c b a", "a b c a b c a"]
+        batch = pa.RecordBatch.from_pydict({"text": texts})
+        sets = list(minhash._shingle_sets(*minhash.raw_texts(batch), minhash.WordTable(), words, signed=True))
+        full = [minhash.shingles(t, words) for t in texts]
+        assert [s.size for s in sets] == [len(f) for f in full]
+        assert all((sets[i].sha == sets[j].sha) == (full[i] == full[j]) for i in range(len(full)) for j in range(i))
+
+
+def test_clashing_columns(spark):
+    rows = corpus(9, 20)
+    docs = spark.createDataFrame([(d, t, 1, 2, b"x", "y") for d, t in rows], "doc_id long, text string, rep int, n_shingles int, sha binary, component_id string")
+    assert sorted(map(tuple, minhash.near_duplicates(spark, docs, words=2).collect())) == brute(rows)
+    kept = minhash.drop_near_copies(spark, docs.unionByName(docs.limit(0)), words=2)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _, _, stays in brute(rows) if stays}
 
 
 def test_sketches_merge_and_estimate():
