@@ -35,11 +35,12 @@ BLOCK = 1024
 # Bytes of text that are looked at at once.
 CHUNK = 1 << 19
 
-_BLANKS = b" \t\n\r\x0b\x0c"
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
-# Distinct words that a task remembers; beyond that it forgets all between two blocks.
-HELD_WORDS = 1 << 18
 
 
 def split_words(raw: bytes) -> list[bytes]:
@@ -47,47 +48,69 @@ def split_words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-class WordTable:
-    """Words as numbers, exact within a task, with a cryptographic 64-bit digest of each."""
+class Words:
+    """The words of some texts that lie side by side: a hash and an exact number of each, and their bytes.
 
-    def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.digests = np.zeros(1024, dtype=np.uint64)
+    A word's hash adds up mixed values of its bytes and their places, so it has
+    no algebra by which words could be made to clash; where words of a hash
+    differ all the same, their numbers do.
+    """
 
-    def of(self, raw: bytes) -> np.ndarray:
-        """The numbers of the words of a text, which is looked at in blocks that end at a blank."""
-        if len(raw) <= CHUNK:
-            return self._block(raw)
-        parts, at = [], 0
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray):
+        inside = ~_BLANK[raw]
+        fresh = np.zeros(len(raw) + 1, dtype=bool)  # where a text begins or all end
+        fresh[bounds] = True
+        before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
+        starts = np.flatnonzero(inside & (fresh[:-1] | ~before))
+        self.lengths = np.flatnonzero(inside & (fresh[1:] | ~after)) + 1 - starts
+        self.cut = np.searchsorted(starts, bounds)  # the first word of each text
+        self.chars = _LOWER[raw[inside]]
+        self.at = np.cumsum(self.lengths) - self.lengths  # of each word in `chars`
+        place = np.arange(len(self.chars)) - np.repeat(self.at, self.lengths)
+        with np.errstate(over="ignore"):
+            mixed = mix64(((place.astype(np.uint64) << np.uint64(8)) | self.chars) * np.uint64(_ODD) + np.uint64(_ODD))
+            sums = np.add.reduceat(mixed, self.at) if len(starts) else np.zeros(0, np.uint64)
+            self.hashes = mix64(sums + self.lengths.astype(np.uint64))
+        _, first, self.numbers = np.unique(self.hashes, return_index=True, return_inverse=True)
+        one = first[self.numbers]
+        alike = (self.lengths[one] == self.lengths).all() and (self.chars == self.chars[np.repeat(self.at[one], self.lengths) + place]).all()
+        if not alike:
+            seen: dict[bytes, int] = {}
+            self.numbers = np.asarray([seen.setdefault(w, len(seen)) for w in self.spelt(np.arange(len(starts))).split(b" ")[:-1]], dtype=np.int64)
+
+    def spelt(self, words: np.ndarray) -> bytes:
+        """These words, each with a blank after it."""
+        sizes = self.lengths[words]
+        total = int(sizes.sum())
+        out = np.full(total + len(words), 0x20, dtype=np.uint8)
+        number = np.repeat(np.arange(len(words)), sizes)
+        inner = np.arange(total)
+        out[inner + number] = self.chars[inner + (self.at[words] - (np.cumsum(sizes) - sizes))[number]]
+        return out.tobytes()
+
+
+class LongWords:
+    """The same for one text that is longer than a block, looked at block by block; blocks end at a blank."""
+
+    def __init__(self, raw: np.ndarray):
+        hashes, numbers, self.seen, at = [], [], {}, 0
         while at < len(raw):
-            end = at + CHUNK
+            end = min(len(raw), at + CHUNK)
             while end < len(raw):
-                last = max(raw.rfind(bytes([c]), at, end) for c in _BLANKS)
-                if last >= 0:
-                    end = last + 1
+                blank = np.flatnonzero(_BLANK[raw[at:end]])
+                if len(blank):
+                    end = at + int(blank[-1]) + 1
                     break
                 end += CHUNK  # one word longer than a block
-            parts.append(self._block(raw[at:end]))
+            part = raw[at:end]
+            hashes.append(Words(part, np.asarray([0, len(part)])).hashes)
+            numbers.append(np.asarray([self.seen.setdefault(w, len(self.seen)) for w in split_words(part.tobytes())], dtype=np.int64))
             at = end
-        return np.concatenate(parts)
-
-    def _block(self, raw: bytes) -> np.ndarray:
-        found = split_words(raw)
-        try:
-            return np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
-        except KeyError:
-            for word in found:
-                if word not in self.numbers:
-                    if len(self.words) == len(self.digests):
-                        self.digests = np.concatenate([self.digests, np.zeros_like(self.digests)])
-                    self.digests[len(self.words)] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-                    self.numbers[word] = len(self.words)
-                    self.words.append(word)
-            return np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+        self.hashes, self.numbers = np.concatenate(hashes), np.concatenate(numbers)
+        self.cut, self.known = np.asarray([0, len(self.hashes)]), list(self.seen)
+
+    def spelt(self, words: np.ndarray) -> bytes:
+        return b"".join([self.known[n] + b" " for n in self.numbers[words].tolist()])
 
 
 class ShingleSet(NamedTuple):
@@ -96,53 +119,50 @@ class ShingleSet(NamedTuple):
     sha: bytes  # SHA-256 of all its shingles, word by word, or empty
 
 
-def _shingle_sets(raw: np.ndarray, offsets: np.ndarray, table: WordTable, words: int, signed: bool = False) -> Iterator[ShingleSet]:
+def _shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int, signed: bool = False) -> Iterator[ShingleSet]:
     """The set of each text; of fewer words, the whole sequence as one shingle."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = i + 1
         while j < n and offsets[j + 1] - offsets[i] <= CHUNK:
             j += 1
-        if len(table.words) > HELD_WORDS:
-            table.forget()
-        parts = [table.of(raw[a:b].tobytes()) for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
-        cut = np.cumsum([0, *map(len, parts)])
-        numbers = np.concatenate(parts)
-        digests = table.digests[numbers]
+        part = raw[offsets[i] : offsets[j]]
+        found = Words(part, offsets[i : j + 1] - offsets[i]) if len(part) <= CHUNK else LongWords(part)
+        hashes = found.hashes
         with np.errstate(over="ignore"):
-            long = digests[: max(0, len(digests) - words + 1)].copy()
+            long = hashes[: max(0, len(hashes) - words + 1)].copy()
             for k in range(1, words):
-                long = mix64(long * np.uint64(_ODD) + digests[k : k + len(long)])
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                long = mix64(long * np.uint64(_ODD) + hashes[k : k + len(long)])
+            for a, b in zip(found.cut[:-1].tolist(), found.cut[1:].tolist(), strict=True):
                 if b - a >= words:
-                    yield _set_of(table, numbers[a:b], long[a : b - words + 1], words, signed)
+                    yield _set_of(found, a, long[a : b - words + 1], words, signed)
                 elif b > a:
                     short = np.full(1, b - a, dtype=np.uint64)
-                    for h in digests[a:b]:
+                    for h in hashes[a:b]:
                         short = mix64(short * np.uint64(_ODD_INVERSE) + h)
-                    yield _set_of(table, numbers[a:b], short, int(b - a), signed)
+                    yield _set_of(found, a, short, b - a, signed)
                 else:
                     yield ShingleSet(np.zeros(0, dtype=np.uint64), 0, b"")
         i = j
 
 
-def _set_of(table: WordTable, numbers: np.ndarray, hashes: np.ndarray, words: int, signed: bool) -> ShingleSet:
-    """The set of the shingles that begin at each of `hashes`; shingles count as one only if their words are the same."""
-    order = np.argsort(hashes, kind="stable")
+def _set_of(found: Words | LongWords, first: int, hashes: np.ndarray, words: int, signed: bool) -> ShingleSet:
+    """The set of the shingles that begin at word `first` and after; shingles count as one only if their words are the same."""
+    order = np.argsort(hashes)
     ranked = hashes[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     again = np.flatnonzero(~fresh)
-    here, before = order[again], order[again - 1]
-    if any((numbers[here + k] != numbers[before + k]).any() for k in range(words)):  # two shingles of one hash
-        exact = sorted({tuple(table.words[w] for w in numbers[i : i + words]) for i in range(len(hashes))})
-        flat: list[bytes] = [w for shingle in exact for w in shingle]
-        size = len(exact)
-    else:
-        firsts = order[fresh]
-        size = len(firsts)
-        flat = list(map(table.words.__getitem__, numbers[(firsts[:, None] + np.arange(words)).ravel()].tolist())) if signed else []
-    sha = hashlib.sha256(b" ".join([b"%d" % words, *flat])).digest() if signed else b""
-    return ShingleSet(ranked[fresh], size, sha)
+    here, before, numbers = order[again] + first, order[again - 1] + first, found.numbers
+    if len(again) and any((numbers[here + k] != numbers[before + k]).any() for k in range(words)):  # two shingles of one hash
+        exact = sorted({found.spelt(np.arange(i, i + words)) for i in range(first, first + len(hashes))})
+        return ShingleSet(ranked[fresh], len(exact), hashlib.sha256(b"%d " % words + b"".join(exact)).digest() if signed else b"")
+    firsts = order[fresh] + first
+    if not signed:
+        return ShingleSet(ranked[fresh], len(firsts), b"")
+    sha = hashlib.sha256(b"%d " % words)
+    for at in range(0, len(firsts), 1 << 14):
+        sha.update(found.spelt((firsts[at : at + (1 << 14), None] + np.arange(words)).ravel()))
+    return ShingleSet(ranked[fresh], len(firsts), sha.digest())
 
 
 _MULTIPLIERS = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1))[None, :]
@@ -168,10 +188,9 @@ _SKETCH = "doc_id {id}, n_shingles long, sha binary, registers binary"
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
         for batch in batches:
             sizes, shas, sketch = [], [], []
-            for found in _shingle_sets(*raw_texts(batch), table, words, signed=True):
+            for found in _shingle_sets(*raw_texts(batch), words, signed=True):
                 sizes.append(found.size)
                 shas.append(found.sha)
                 sketch.append(registers(found.hashes).tobytes() if found.size else b"")
@@ -227,9 +246,8 @@ def _hash_sets(words: int):
     """(rep, hashes): the set of a text as sorted 32-bit hashes; they only serve to rule pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
         for batch in batches:
-            sets = [np.unique((s.hashes >> np.uint64(32)).astype(np.uint32)).tobytes() for s in _shingle_sets(*raw_texts(batch), table, words)]
+            sets = [np.unique((s.hashes >> np.uint64(32)).astype(np.uint32)).tobytes() for s in _shingle_sets(*raw_texts(batch), words)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "hashes"])
 
     return run

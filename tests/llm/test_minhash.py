@@ -77,16 +77,15 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
 
 
 def test_long_texts_and_words(monkeypatch):
-    text = " ".join(["ab", "c" * 200, "D"] * 30).encode()
-    whole = minhash.WordTable()
-    numbers = whole.of(text)
-    assert [whole.words[k] for k in numbers] == text.lower().split()
+    text = " ".join(["ab", "c" * 200, "D", "é"] * 30)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "", "b", " a  b ", "x y z x y", text, "A\tb\n"]})
+    whole = list(minhash._shingle_sets(*minhash.raw_texts(batch), 2, signed=True))
+    assert [s.size for s in whole] == [1, 0, 0, 1, 1, 3, 4, 1] and whole[0].sha == whole[4].sha == whole[7].sha != whole[3].sha
     monkeypatch.setattr(minhash, "CHUNK", 64)
-    assert minhash.WordTable().of(text).tolist() == numbers.tolist()
-    monkeypatch.setattr(minhash, "HELD_WORDS", 1)
-    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "", "b", " a  b ", "x y z x y"]})
-    sets = list(minhash._shingle_sets(*minhash.raw_texts(batch), minhash.WordTable(), 2, signed=True))
-    assert [s.size for s in sets] == [1, 0, 0, 1, 1, 3] and sets[0].sha == sets[4].sha != sets[3].sha
+    cut = list(minhash._shingle_sets(*minhash.raw_texts(batch), 2, signed=True))
+    assert [(s.hashes.tolist(), s.size, s.sha) for s in cut] == [(s.hashes.tolist(), s.size, s.sha) for s in whole]
+    words = minhash.LongWords(np.frombuffer(text.encode(), np.uint8))
+    assert words.spelt(np.arange(len(words.hashes))).split() == minhash.split_words(text.encode())
 
 
 def test_words_that_a_polynomial_hash_confuses(spark):
@@ -102,10 +101,10 @@ def test_words_that_a_polynomial_hash_confuses(spark):
 def test_equal_hashes_are_told_apart(monkeypatch):
     """Where all shingles hash alike, sizes and digests are still those of the words."""
     monkeypatch.setattr(minhash, "mix64", lambda x: x * np.uint64(0))
-    for words in (2, 3):
+    for words in (1, 2, 3):
         texts = ["a b c d", "a b c a b c", "b c d a", "a b a b", "d c b a", "a b c a b c a"]
         batch = pa.RecordBatch.from_pydict({"text": texts})
-        sets = list(minhash._shingle_sets(*minhash.raw_texts(batch), minhash.WordTable(), words, signed=True))
+        sets = list(minhash._shingle_sets(*minhash.raw_texts(batch), words, signed=True))
         full = [minhash.shingles(t, words) for t in texts]
         assert [s.size for s in sets] == [len(f) for f in full]
         assert all((sets[i].sha == sets[j].sha) == (full[i] == full[j]) for i in range(len(full)) for j in range(i))
