@@ -4,7 +4,8 @@ The tokenizers here cut a text before they merge, and never across a blank
 that stands alone.  So a text is cut at blanks, each new word is cut by the
 tokenizer's own pattern, and each new piece goes to the library's BPE model
 once; after that words are looked up.  Texts with characters or blanks for
-which the cut isn't safe are encoded whole by the library.
+which the cut isn't safe, or with a string that is a token of its own, are
+encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -43,7 +44,6 @@ def byte_letters() -> dict[int, str]:
 
 _SPACE = byte_letters()[0x20]
 _MARKS = string.punctuation
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # those of ASCII
 
 
 class _Cache(dict):
@@ -74,7 +74,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings that the library takes for one token wherever they stand, the text's case aside in the word kind.
+        added = {token.content for token in self.library.get_added_tokens_decoder().values()}
+        self.added = tuple(sorted(added | {a.lower() for a in added}))
         self.vocabulary = self.library.get_vocab_size()
         self.byte = {"byte": True, "word": False}[kind]
         self.cut = regex.compile(BYTE_PATTERN if self.byte else WORD_PATTERN).findall
@@ -124,6 +126,8 @@ class Encoder:
         """Whether the text may be cut at its blanks."""
         if not text.isascii() and _ODD.search(text):
             return False
+        if any(a in text for a in self.added) or not self.byte and any(a in text.lower() for a in self.added):
+            return False
         return not any(c in text for c in _ODD_BLANKS) and not (self.byte and any(run in text for run in _RUNS))
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:

@@ -12,32 +12,44 @@ pytest.importorskip("public_tokenizers")
 
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 from quern.llm import packing, token_files, tokens  # noqa: E402
 
 BYTE, WORD = ("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")
 TEXTS = [
-    "", " ", "\n", "a\n b", "a  b", "a \nb", "a\n \nb", "x\n ", " lead", "tail ", "it 's don't", "Ωμεγα ñandú", "a\x85b", "a\x1cb", "a\xa0b", "<|endoftext|> x", "İstanbul ß",
+    "", " ", "\n", "a\n b", "a  b", "a \nb", "a\n \nb", "x\n ", " lead", "tail ", "it 's don't", "Ωμεγα ñandú", "a\x85b", "a\x1cb", "a\xa0b", "<|endoftext|> x", "hello <|endoftext|> world", "a<|startoftext|>b <|STARTOFTEXT|> <|EndOfText|>", "<|endoftext", "İstanbul ß",
     "é café 日本語", "foo\tbar \t baz", "123 4567 a1b2", "x don't it's. ,, a,b foo.\n\nBar é,ñ! _a_ a_ ª º²", "w" * 5000, "é ́", "\x00 \x7f", "A-B, c.", "'s 't'", "a'", "word's.",
 ]
 
 
+def library_ids(name, text):
+    """What the library gives, asked just as the contract asks it."""
+    if name not in _fresh:
+        _fresh[name] = Tokenizer.from_file(tokens.public(name))
+    return np.asarray(_fresh[name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_fresh = {}
+
+
 @pytest.fixture(scope="module", params=[BYTE, WORD], ids=["byte", "word"])
 def encoder(request):
-    return tokens.Encoder(tokens.public(request.param[0]), request.param[1])
+    return request.param[0], tokens.Encoder(tokens.public(request.param[0]), request.param[1])
 
 
 def test_words_give_the_librarys_ids(encoder):
+    name, encoder = encoder
     for text in TEXTS:
-        assert list(encoder.encode([text])) == [encoder.encode_whole(text)], text
+        assert list(encoder.encode([text])) == [library_ids(name, text)], text
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aBé \n\t'.,-_s1²ñ!\xa0\x0bZ"), max_size=30))
+@given(st.text(alphabet=st.sampled_from([*"aBé \n\t'.,-_s1²ñ!\xa0\x0bZ", "<|endoftext|>", "<|startoftext|>"]), max_size=30))
 def test_any_text(text):
     for name, kind in (BYTE, WORD):
         encoder = tokens.encoder(tokens.public(name), kind)
-        assert list(encoder.encode([text])) == [encoder.encode_whole(text)]
+        assert list(encoder.encode([text])) == [library_ids(name, text)]
 
 
 def test_caches_are_bounded():
@@ -54,7 +66,6 @@ ROWS = [(3, "three words here", None, None), (1, None, b"x", 1), (2, "", None, 2
 
 
 def test_files_round_trip(spark):
-    encoder = tokens.Encoder(tokens.public(BYTE[0]), "byte")
     end = np.asarray([2], "<u4").tobytes()
     found = token_files.token_files(spark, documents(spark, ROWS), tokens.public(BYTE[0]), kind="byte", end_id=2, sequence=64, shard_tokens=500).collect()
     found = sorted(found, key=lambda r: r["start"])
@@ -62,7 +73,7 @@ def test_files_round_trip(spark):
     texts = {d: t for d, t, *_ in ROWS}
     at = 0
     for r in found:
-        assert bytes(r["ids"]) == encoder.encode_whole(texts[r["doc_id"]] or "") + end and r["start"] == at
+        assert bytes(r["ids"]) == library_ids(BYTE[0], texts[r["doc_id"]] or "") + end and r["start"] == at
         at += len(r["ids"]) // 4
     assert token_files.token_files(spark, documents(spark, []), tokens.public(BYTE[0])).collect() == []
 
@@ -117,11 +128,10 @@ def test_packer(seed):
 
 
 def test_packing_documents(spark):
-    encoder = tokens.Encoder(tokens.public(WORD[0]), "word")
     found = packing.pack(documents(spark, ROWS), tokens.public(WORD[0])).collect()
     texts = {d: t for d, t, *_ in ROWS}
     for r in found:
-        whole = encoder.encode_whole(texts[r["doc_id"]] or "") + np.asarray([1], "<u4").tobytes()
+        whole = library_ids(WORD[0], texts[r["doc_id"]] or "") + np.asarray([1], "<u4").tobytes()
         assert r["doc_tokens"] == len(whole) // 4 and bytes(r["ids"]) == whole[4 * r["start"] : 4 * (r["start"] + r["length"])]
         assert zlib.crc32(bytes(r["ids"])) >= 0
     sequences = {}
