@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, bit_filter, bits_to_numpy, prepare, filter_bits, in_bits, mix64, parted, raw_texts
@@ -28,7 +28,7 @@ from quern.llm.common import Scratch, bit_filter, bits_to_numpy, prepare, filter
 LENGTH = 400
 # Contexts that are sorted at once.
 COLLECTION = 1 << 14
-# An anchor of more contexts than this goes by the digests of all strings round it.
+# An anchor of more contexts than this is split by the bytes beside it, and so on until its parts are smaller.
 LARGE_BUCKET = 1 << 16
 _BLOCK = 1 << 19  # bytes whose anchors are sought at once
 _LOW = np.uint64((1 << 20) - 1)
@@ -93,29 +93,40 @@ def _each(batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[int, np.nda
         seen.add(sha)
 
 
-def _ends(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each anchor's places in a text the first and the last: enough to see whether it stands in several."""
+def _beside(part: np.ndarray, start: int, side: int, length: int) -> tuple[int, bytes]:
+    """(bytes before the anchor, the context): what lies round the anchor at `start`."""
+    low = max(0, start - side)
+    return start - low, part[low : start + length].tobytes()
+
+
+def _ends(part: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, anchor, n): of each anchor's places in a text the first, with the number of its different contexts, and the last, with 0."""
     if not len(h):
-        return at, h
-    found, first = np.unique(h, return_index=True)
+        return at, h, h
+    side = length - length // 2
+    found, first, n = np.unique(h, return_index=True, return_counts=True)
+    for k in np.flatnonzero(n > 2):
+        n[k] = len({_beside(part, int(start), side, length) for start in at[h == found[k]]})
     last = len(h) - 1 - np.unique(h[::-1], return_index=True)[1]
     more = last != first
-    return np.concatenate([at[first], at[last[more]]]), np.concatenate([found, found[more]])
+    return np.concatenate([at[first], at[last[more]]]), np.concatenate([found, found[more]]), np.concatenate([n, np.zeros(more.sum(), n.dtype)])
 
 
 def _scan(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, seen = Anchors(length), set()
         for batch in batches:
-            sizes, shas, places, hashes = [], [], [], []
+            sizes, shas, places, hashes, counts = [], [], [], [], []
             for _, part, sha, new in _each(batch, seen):
-                at, h = _ends(*anchors.of(part)) if new else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                at, h, n = _ends(part, *anchors.of(part), length) if new else [np.zeros(0, np.int64)] * 3
                 sizes.append(len(part))
                 shas.append(sha)
                 places.append(at)
                 hashes.append(h)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(places, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "sha", "places", "anchors"])
+                counts.append(n)
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (places, hashes, counts)]
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "sha", "places", "anchors", "counts"])
 
     return run
 
@@ -145,9 +156,7 @@ def _contexts(shared, length: int):
                 at, h = anchors.of(part)
                 same: dict[tuple[int, int, bytes], list[int]] = {}
                 for i in np.flatnonzero(in_bits(shared.value, h)):
-                    start = int(at[i])
-                    low = max(0, start - side)
-                    same.setdefault((int(h[i]), start - low, part[low : start + length].tobytes()), []).append(start)
+                    same.setdefault((int(h[i]), *_beside(part, int(at[i]), side, length)), []).append(int(at[i]))
                 for (anchor, before, context), starts in same.items():
                     out.append((anchor, sha, starts, before, context))
                     if len(out) >= 4096:
@@ -200,21 +209,26 @@ def column_matches(symbols: np.ndarray, bucket: np.ndarray, length: int) -> tupl
     return first, last
 
 
+def _turns(rows: pa.Table) -> np.ndarray:
+    """Whether each row but the first has another key than the one before it."""
+    key = rows.column("key").combine_chunks()
+    return pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+
+
 def _collections(length: int):
-    """(sha, from, to): covered spans, from contexts sorted by anchor."""
+    """(sha, from, to): covered spans, from contexts sorted by key."""
 
     def spans(table: pa.Table) -> pa.RecordBatch:
         k = length // 2
         side, width = length - k, 2 * length - k
         rows = table.combine_chunks()
-        anchor, before = rows.column("anchor").to_numpy(), rows.column("before").to_numpy()
-        bucket = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
+        before, bucket = rows.column("before").to_numpy(), np.concatenate([[0], np.cumsum(_turns(rows))])
         raw, offsets = raw_texts(pa.RecordBatch.from_arrays([rows.column("context").combine_chunks().cast(pa.large_binary())], ["text"]))
         sizes = np.diff(offsets)
         with tempfile.TemporaryFile() as file:
-            symbols = np.memmap(file, dtype=np.uint16, mode="w+", shape=(width, len(anchor)))
-            for at in range(0, len(anchor), 1024):
-                part = np.full((min(1024, len(anchor) - at), width), _GAP, dtype=np.uint16)
+            symbols = np.memmap(file, dtype=np.uint16, mode="w+", shape=(width, len(before)))
+            for at in range(0, len(before), 1024):
+                part = np.full((min(1024, len(before) - at), width), _GAP, dtype=np.uint16)
                 for i in range(len(part)):
                     left = side - before[at + i]
                     part[i, left : left + sizes[at + i]] = raw[offsets[at + i] : offsets[at + i + 1]]
@@ -248,8 +262,7 @@ def _collections(length: int):
             rest = table if rest is None else pa.concat_tables([rest, table])
             if rest.num_rows < COLLECTION:
                 continue
-            anchor = rest.column("anchor").to_numpy()
-            turns = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            turns = np.flatnonzero(_turns(rest)) + 1
             if len(turns):  # whole buckets only
                 yield spans(rest.slice(0, int(turns[-1])))
                 rest = rest.slice(int(turns[-1]))
@@ -259,27 +272,54 @@ def _collections(length: int):
     return run
 
 
-def _strings(length: int):
-    """(high, low, sha, start): a digest of every string of `length` bytes round an anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sha, places, before, context in zip(*(batch.column(c).to_pylist() for c in ("sha", "starts", "before", "context")), strict=True):
-                inside = range(len(context) - length + 1)
-                digests = np.frombuffer(b"".join(hashlib.blake2b(context[s : s + length], digest_size=16).digest() for s in inside), dtype=np.int64)
-                for place in places if len(digests) else ():
-                    columns = [pa.array(digests[::2]), pa.array(digests[1::2]), pa.array([sha] * len(inside), pa.binary()), pa.array(np.arange(len(inside)) + place - before)]
-                    yield pa.RecordBatch.from_arrays(columns, ["high", "low", "sha", "start"])
+def _digest(side: int, low: int, high: int) -> Column:
+    """A digest of columns `low` to `high` (without it) of contexts that have them all, else null."""
+    there = (F.col("before") >= side - low) & (F.octet_length("context") >= F.col("before") + (high - side))
+    return F.when(there, F.sha2(F.concat(F.lit(f"{low} {high} ").cast("binary"), F.expr(f"substring(context, before + {low - side + 1}, {high - low})")), 256))
 
-    return run
 
+def _split(scratch: Scratch, contexts: DataFrame, length: int, large: int) -> DataFrame:
+    """Contexts of large anchors, keyed so that every repeat lies within a key of about `large` rows at most.
 
-def _large(contexts: DataFrame, length: int) -> DataFrame:
-    """(sha, from, to) for anchors with very many contexts: strings are counted by digest, spread over all tasks."""
-    strings = contexts.mapInArrow(_strings(length), "high long, low long, sha binary, start long")
-    where = F.xxhash64("sha", "start")
-    twice = strings.groupBy("high", "low").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("high", "low")
-    return strings.join(twice, ["high", "low"]).select("sha", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+    All repeats that begin in columns `low` to `high` have the columns from
+    `high` to `low + length`, so contexts are keyed by those.  Of a key that is
+    still large, contexts that agree from `low` to `high + length` need no more
+    than one another there, in parts of bounded size that all hold one of them;
+    one of each such class goes on to either half of the columns.  With one
+    column left the two ranges are the same, and nothing goes on.
+    """
+    side, ready = length - length // 2, []
+    waiting = [(0, side, contexts)]
+    while waiting:
+        later = []
+        for low, high, rows in waiting:
+            name = f"{low}-{high}"
+            keyed = rows.withColumn("key", _digest(side, high, low + length)).where("key is not null").withColumn("whole", _digest(side, low, high + length))
+            keyed = scratch.table(keyed, f"keyed-{name}")
+            sizes = scratch.table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("key"), f"large-{name}")
+            if sizes.isEmpty():
+                ready.append(keyed.drop("whole"))
+                continue
+            ready.append(keyed.join(F.broadcast(sizes), "key", "left_anti").drop("whole"))  # at most a key for each `large` contexts
+            many = keyed.join(F.broadcast(sizes), "key", "left_semi").drop("key")
+            ones = many.where("whole is not null").groupBy("whole").agg(F.min(F.struct(contexts.columns)).alias("one"), F.count(F.lit(1)).alias("n"))
+            ones = scratch.table(ones.select("whole", "n", "one.*"), f"ones-{name}")
+            parts = F.ceil(F.col("n") / large)
+            classes = F.broadcast(ones.where(F.col("n") > large).select("whole", parts.alias("parts")))  # as few
+            dealt = many.where("whole is not null").join(classes, "whole", "left").withColumn("part", F.pmod(F.xxhash64("sha", "starts"), F.coalesce("parts", F.lit(1))))
+            beside = ones.where(F.col("n") > large).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+            both = dealt.select(*contexts.columns, "whole", "part").unionByName(beside.select(*contexts.columns, "whole", "part"))
+            both = both.dropDuplicates(["whole", "part", "sha", "starts", "before"])  # the one is in its own part already
+            ready.append(both.select(*contexts.columns, F.concat_ws(" ", "whole", "part").alias("key")))
+            if low < high:
+                left = ones.select(contexts.columns).unionByName(many.where("whole is null").select(contexts.columns))
+                middle = (low + high) // 2
+                later += [(low, middle, left), (middle + 1, high, left)]
+        waiting = later
+    out = ready[0]
+    for part in ready[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, large_bucket: int = LARGE_BUCKET) -> DataFrame:
@@ -296,23 +336,23 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     scratch = Scratch(spark, "repeats")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scanned = scratch.table(rows.mapInArrow(_scan(length), f"doc_id {id_type}, n_bytes long, sha binary, places array<long>, anchors array<long>"), "scanned")
+    scanned = scratch.table(rows.mapInArrow(_scan(length), f"doc_id {id_type}, n_bytes long, sha binary, places array<long>, anchors array<long>, counts array<long>"), "scanned")
 
-    pairs = scanned.where(F.size("anchors") > 0).select("sha", F.inline(F.arrays_zip("places", "anchors"))).select("sha", F.col("places").alias("place"), F.col("anchors").alias("anchor"))
+    pairs = scanned.where(F.size("anchors") > 0).select("sha", F.inline(F.arrays_zip("places", "anchors", "counts"))).toDF("sha", "place", "anchor", "n")
     where = F.xxhash64("sha", "place")
-    met = pairs.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("anchor", "n")
+    met = pairs.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.sum("n").alias("n")).where("a <> b").select("anchor", "n")
     met = scratch.table(met, "met")
     bits = filter_bits(met.count())
     shared = spark.sparkContext.broadcast(bits_to_numpy(bit_filter(met, F.col("anchor"), bits), bits))
     contexts = rows.select("text").mapInArrow(_contexts(shared, length), _CONTEXT)
-    large = met.where(F.col("n") > large_bucket).select("anchor")
-    none_large = large.isEmpty()
-    if not none_large:
+    large = scratch.table(met.where(F.col("n") > large_bucket).select("anchor"), "large")
+    keyed = contexts.withColumn("key", F.col("anchor").cast("string"))
+    if not large.isEmpty():  # at most one anchor for each `large_bucket` contexts
         contexts = scratch.table(contexts, "contexts")
-    usual = contexts if none_large else contexts.join(large, "anchor", "left_anti")
-    spans = usual.repartition("anchor").sortWithinPartitions("anchor", "sha").mapInArrow(_collections(length), "sha binary, from long, to long")
-    if not none_large:
-        spans = spans.union(_large(contexts.join(large, "anchor", "left_semi"), length))
+        usual = contexts.join(F.broadcast(large), "anchor", "left_anti").withColumn("key", F.col("anchor").cast("string"))
+        keyed = usual.unionByName(_split(scratch, contexts.join(F.broadcast(large), "anchor", "left_semi"), length, large_bucket))
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "sha")
+    spans = dealt.mapInArrow(_collections(length), "sha binary, from long, to long")
     merged = spans.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("found"))  # a text's own
     merged = scratch.table(merged.mapInArrow(_merge, f"sha binary, spans {_SPANS}"), "merged")
     copies = scratch.table(scanned.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "copies")

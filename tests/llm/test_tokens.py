@@ -45,7 +45,7 @@ def test_words_give_the_librarys_ids(encoder):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from([*"aBé \n\t'.,-_s1²ñ!\xa0\x0bZ", "<|endoftext|>", "<|startoftext|>"]), max_size=30))
+@given(st.lists(st.sampled_from([*"aBé \n\t'.,-_s1²ñ!\xa0\x0bZ", "<|endoftext|>", "<|startoftext|>"]), max_size=30).map("".join))
 def test_any_text(text):
     for name, kind in (BYTE, WORD):
         encoder = tokens.encoder(tokens.public(name), kind)
