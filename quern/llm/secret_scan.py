@@ -1,18 +1,20 @@
 """Secret scans: candidate strings, and a random forest that removes false findings.
 
-Candidates are runs of the characters that keys and tokens are made of.  The
-forest sees their length, how their characters follow each other, how much of
-them a dictionary covers, the path and the words beside them.  Dictionary and
-letter transitions are counted over the whole corpus.
+A scanner cuts candidates: quoted values and values after an assignment,
+passwords in addresses, and long runs of the characters that keys are made of.
+The forest sees their length, how their characters follow each other, how much
+of them a dictionary covers, the path, the words beside them and how they
+begin.  What words and beginnings mean is learned from labelled findings;
+dictionary and letter transitions are counted over the whole corpus.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +22,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import prepare, texts
+from quern.llm.findings import labelled_lines
 from quern.llm.forest import Forest
 from quern.llm.toxicity import LetterModel, letter_counts
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
-# Words beside a secret, words beside other long strings, and marks of paths without secrets.
-NEAR_SECRETS = ("token", "secret", "key", "passw", "pwd", "auth", "credential", "bearer", "private")
-NEAR_OTHERS = ("sha", "md5", "commit", "hash", "checksum", "uuid", "http", "www", "href", "src", "digest", "version", "@")
-HARMLESS_PATHS = ("test", "example", "sample", "doc", "fixture", "lock", "vendor")
-PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live", "sk-", "xoxb-", "AIza", "eyJ", "glpat-")
-BESIDE = 24  # characters on either side that are looked at
-DICTIONARY = 5000  # most frequent words of 3 to 8 letters
+_ADDRESS = re.compile(r"""://[^\s/:@"']{1,64}:([^\s/@"']{4,})@""")  # user:password@host
+_VALUE = re.compile(
+    r"""[=:]\s?(["'])(?P<quoted>[^\s"']{6,})\1"""  # = "value"
+    r"""|=(?P<assigned>[^\s"'&;,<>()=]{8,}={0,2})(?![^\s"'&;,)])"""  # =value
+)
+_RUN = re.compile(r"[A-Za-z0-9_+/.\-]{12,}(?:={1,2}(?![A-Za-z0-9_+/=\"']))?")  # of signs that keys are made of, perhaps padded
+_LONG = 16  # a shorter run needs a digit
+BESIDE = 40  # characters on either side that are looked at
+# A word is in the dictionary if it makes up so large a share of all words of 3 to 8 letters: at most 100,000 do.
+DICTIONARY_SHARE = 1e-5
 # Labelled findings that the forest is fitted on at most.
 MAX_FINDINGS = 20_000
 _HELD = 300_000
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate, in order; they don't overlap."""
+    found = [m.span(1) for m in _ADDRESS.finditer(text)]
+    found = sorted(found + _beside(found, [m.span(m.lastgroup) for m in _VALUE.finditer(text)]))
+    runs = []
+    for match in _RUN.finditer(text):
+        start, end = match.start(), match.start() + len(match[0].rstrip(".-/"))
+        if end - start >= _LONG or (end - start >= 12 and not text[start:end].isalpha() and any(c.isdigit() for c in text[start:end])):
+            runs.append((start, end))
+    return sorted(found + _beside(found, runs)) if found else runs
+
+
+def _beside(taken: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of the taken ones, which are in order."""
+    ends = [end for _, end in taken]
+    return [s for s in spans if (k := bisect_right(ends, s[0])) == len(taken) or taken[k][0] >= s[1]]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
 
@@ -52,17 +75,56 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield hand_on()
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> frozenset[str]:
-    """The most frequent words of 3 to 8 letters, counted over all texts."""
+def dictionary(docs: DataFrame, text_col: str = "text", share: float = DICTIONARY_SHARE) -> frozenset[str]:
+    """The words of 3 to 8 letters that make up a share of all of them, counted over all texts."""
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
+    total = counts.agg(F.sum("n").alias("total"))
+    return frozenset(r["word"] for r in counts.join(F.broadcast(total)).where(F.col("n") >= F.col("total") * share).select("word").collect())
+
+
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _parts(text: str) -> list[str]:
+    """The words of a name, a path or a line, in lower case."""
+    return [p.lower() for p in _PART.findall(text)]
+
+
+class Cues:
+    """Log-odds of words before and after a candidate, in its path and of how it begins, from labelled findings."""
+
+    def __init__(self, rows: Iterable[tuple[str, str, str, str, int]]):
+        counts: dict[tuple[str, str], list[int]] = {}
+        total = [0, 0]
+        for text, before, after, path, label in rows:
+            total[label] += 1
+            for cue in set(self.of(text, before, after, path)):
+                counts.setdefault(cue, [0, 0])[label] += 1
+        self.odds = {cue: math.log((k + 0.5) / (total[1] + 1)) - math.log((n + 0.5) / (total[0] + 1)) for cue, (n, k) in counts.items() if n + k >= 3}
+
+    @staticmethod
+    def of(text: str, before: str, after: str, path: str) -> Iterator[tuple[str, str]]:
+        words = _parts(before)
+        yield from (("before", w) for w in words[-6:-1])
+        yield ("next", words[-1] if words else "")
+        yield from (("after", w) for w in _parts(after)[:2])
+        yield from (("path", w) for w in _parts(path))
+        yield ("head", text[:4])
+        yield ("sign", before.rstrip("\"'")[-2:])
+
+    def features(self, text: str, before: str, after: str, path: str) -> list[float]:
+        found: dict[str, list[float]] = {}
+        for kind, cue in self.of(text, before, after, path):
+            found.setdefault(kind, []).append(self.odds.get((kind, cue), 0.0))
+        beside = [*found.get("before", [0.0]), *found["next"]]
+        return [max(beside), min(beside), sum(beside), found["next"][0], sum(found.get("after", [])), sum(found.get("path", [])), found["head"][0], found["sign"][0]]
 
 
 class Judge:
-    """Features of a candidate, given the corpus's dictionary and letters."""
+    """Features of a candidate, given the corpus's dictionary and letters, and what labelled findings tell."""
 
-    def __init__(self, words: frozenset[str], letters: LetterModel):
-        self.words, self.letters = words, letters
+    def __init__(self, words: frozenset[str], letters: LetterModel, cues: Cues):
+        self.words, self.letters, self.cues = words, letters, cues
 
     def covered(self, low: str) -> int:
         """Letters of the longest dictionary words, taken from the left."""
@@ -77,8 +139,7 @@ class Judge:
         return total
 
     def features(self, text: str, before: str, after: str, path: str) -> list[float]:
-        n = len(text)
-        low, left, right, path = text.lower(), before.lower(), after.lower(), path.lower()
+        n, low = len(text), text.lower()
         kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in text]
         letters = sum(k < 2 for k in kinds)
         entropy = -sum(k / n * math.log2(k / n) for k in Counter(text).values())
@@ -90,7 +151,7 @@ class Judge:
         return [
             math.log(n),
             entropy,
-            entropy / math.log2(n),
+            entropy / math.log2(n) if n > 1 else 0.0,
             kinds.count(2) / n,
             kinds.count(1) / n,
             kinds.count(3) / n,
@@ -98,63 +159,37 @@ class Judge:
             total / steps if steps else -4.0,
             self.covered(low) / max(1, letters),
             float(all(c in "0123456789abcdef-" for c in low)),
-            float(text.startswith(PREFIXES)),
-            float(any(w in left for w in NEAR_SECRETS)),
-            float(any(w in left for w in NEAR_OTHERS) or right[:1] == "@"),
-            float(left.rstrip().endswith(("=", ":", "=\"", ":\"", "\"", "'"))),
-            float(any(w in path for w in HARMLESS_PATHS)),
-            float(text.count(".") + text.count("/") + text.count("-") > 2),
+            float(text.count(".") + text.count("/") + text.count("-") + text.count("_")),
+            *self.cues.features(text, before, after, path),
         ]
 
 
-def sample_findings(words: frozenset[str], n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings (text, before, after, path, label) made from rules, for use where no reviewed ones are given.
+Finding = tuple[str, str, str, str, int]  # text, before, after, path, label
 
-    Half are keys and tokens of usual forms beside usual words; the rest are
-    words, digests, identifiers, addresses, numbers and rules of signs.
+
+def sample_findings() -> list[Finding]:
+    """The candidates that the scanner cuts from the labelled lines: 1 for those that are the marked secret, else 0.
+
+    A candidate that only overlaps a secret is left out.
     """
-    chance = random.Random(seed)
-    vocabulary = sorted(words) or ["lorem", "ipsum", "dolor", "sit", "amet"]
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    pick = lambda chars, k: "".join(chance.choices(chars, k=k))
-    word = lambda: chance.choice(vocabulary)
-    secrets = (
-        lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16),
-        lambda: "ghp_" + pick(alnum, 36),
-        lambda: "sk_live_" + pick(alnum, 24),
-        lambda: pick("0123456789abcdef", chance.choice((32, 40, 64))),
-        lambda: pick(alnum + "+/", chance.choice((40, 43, 64))),
-        lambda: pick(alnum + "-_", chance.randint(20, 48)),
-        lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum, 40),
-    )
-    others = (
-        lambda: "".join(word() for _ in range(chance.randint(3, 6)))[:48].ljust(16, "e"),
-        lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
-        lambda: f"www.{word()}{word()}.com/{word()}/{word()}",
-        lambda: f"{word()}{chance.randint(1, 99)}.example.{chance.choice(('com', 'org', 'net'))}",
-        lambda: pick("0123456789", chance.randint(16, 20)),
-        lambda: chance.choice("-=._") * chance.randint(16, 60),
-        lambda: f"{word()}_{word()}_{word()}_{word()}_{word()}",
-        lambda: f"{word()}/{word()}/{word()}/{word()}.{word()[:3]}",
-        lambda: (word() + word() + word() + word() + word()).upper()[:40].ljust(16, "E"),
-        lambda: pick("0123456789abcdef", chance.choice((32, 40, 64))),  # digests, told by the words beside them
-    )
     out = []
-    for i in range(n):
-        path = f"{word()}/{word()}.{chance.choice(('py', 'txt', 'env', 'cfg'))}"
-        around = f"{word()} {word()} "
-        if i % 2:
-            name, sign, quote = chance.choice(NEAR_SECRETS), chance.choice((" = ", "=", ": ")), chance.choice(('"', "'", ""))
-            out.append((chance.choice(secrets)(), f"{around}{name}{sign}{quote}"[-BESIDE:], f"{quote} {word()}", path, 1))
-        else:
-            k = chance.randrange(len(others))
-            beside = f"{around}{chance.choice(('sha256', 'commit', 'md5', 'checksum'))} " if k == 9 else around
-            if chance.random() < 0.1:
-                path = f"tests/fixtures/{path}"
-            out.append((others[k](), beside[-BESIDE:], f" {word()}", path, 0))
+    for line in labelled_lines():
+        for start, end in candidates(line.text):
+            exact = (start, end) == (line.start, line.end)
+            if line.label and not exact and start < line.end and line.start < end:
+                continue
+            out.append((line.text[start:end], line.text[max(0, start - BESIDE) : start], line.text[end : end + BESIDE], line.path, int(exact and line.label)))
     return out
 
 
+def fit(labelled: list[Finding], words: frozenset[str], letters: LetterModel) -> tuple[Judge, Forest]:
+    """Cues from one half of the findings and the forest from the other, so that the forest knows how far cues can be trusted."""
+    labelled = [row for row in labelled if row[0]]
+    judge = Judge(words, letters, Cues(labelled[::2]))
+    rest = labelled[1::2] or labelled
+    return judge, Forest(depth=10).fit(np.asarray([judge.features(*row[:4]) for row in rest]), np.asarray([row[4] for row in rest], dtype=float))
+
+
 def _findings(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value[0]
@@ -162,11 +197,10 @@ def _findings(shared, threshold: float):
             paths = batch.column("path").to_pylist()
             out, rows = [], []
             for i, text in enumerate(texts(batch)):
-                for match in CANDIDATE.finditer(text):
-                    start, end = match.span()
+                for start, end in candidates(text):
                     before, after = text[max(0, start - BESIDE) : start], text[end : end + BESIDE]
                     out.append((i, start, end))
-                    rows.append(judge.features(match[0], before, after, paths[i] or ""))
+                    rows.append(judge.features(text[start:end], before, after, paths[i] or ""))
                     if len(rows) >= 8192:
                         yield found(batch, out, rows)
                         out, rows = [], []
@@ -196,23 +230,20 @@ def scan(
 
     `findings` are labelled ones: text, before, after, path, label (1 a secret);
     MAX_FINDINGS of them, the first by hash, are learned from.  Without any the
-    forest learns from `sample_findings`.  A null text, id or path counts as
+    forest learns from `sample_findings`, whose lines are made up.  A null text, id or path counts as
     empty, is kept, or is an empty path; texts without candidates give no row;
     repeated rows give their findings each.  Other columns are not read; an
     empty table gives an empty result.
     """
     prepare(spark)
-    words = dictionary(docs, text_col)
-    judge = Judge(words, LetterModel(letter_counts(docs, text_col)))
+    words, letters = dictionary(docs, text_col), LetterModel(letter_counts(docs, text_col))
     if findings is None:
-        labelled = sample_findings(words)
+        labelled = sample_findings()
     else:
         names = ["text", "before", "after", "path", "label"]
         known = findings.select(*names).where("text is not null and label is not null").orderBy(F.xxhash64(*names), *names).limit(MAX_FINDINGS)
         labelled = [(r["text"], r["before"] or "", r["after"] or "", r["path"] or "", int(r["label"])) for r in known.collect()]
-    x = np.asarray([judge.features(*row[:4]) for row in labelled if row[0]])
-    y = np.asarray([row[4] for row in labelled if row[0]], dtype=float)
-    shared = spark.sparkContext.broadcast((judge, Forest().fit(x, y)))
+    shared = spark.sparkContext.broadcast(fit(labelled, words, letters))
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
