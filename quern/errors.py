@@ -6,9 +6,7 @@ from __future__ import annotations
 TEXTS: dict[int, str] = {
     100: "unknown token",
     101: "unterminated string literal",
-    102: "statement too long",
     103: "integer literal out of range",
-    104: "a name or literal is too long",
     200: "not a valid statement",
     201: "expected FROM",
     202: "expected a table name",
@@ -16,7 +14,6 @@ TEXTS: dict[int, str] = {
     204: "expected a column type",
     205: "unbalanced parentheses",
     206: "unexpected tokens after statement",
-    207: "too many columns",
     208: "expected VALUES",
     209: "expected a number or a quoted string",
     210: "expected a comparison operator",
@@ -26,14 +23,10 @@ TEXTS: dict[int, str] = {
     214: "expected ON",
     215: "expected SET",
     216: "expected = in a SET assignment",
-    217: "WHERE clause is too complex",
-    218: "too many tables in FROM",
     219: "expected KEY after PRIMARY",
     220: "expected a positive length in varchar(n)",
-    221: "expression is too complex",
     222: "expected the keyword table",
     223: "expected the keyword to",
-    224: "too many subqueries in one statement",
     300: "no such table",
     301: "table already exists",
     302: "no such column",
@@ -49,7 +42,6 @@ TEXTS: dict[int, str] = {
     312: "the default database cannot be dropped",
     313: "column name matches more than one table",
     314: "the same table is listed twice in FROM",
-    315: "the joined tables have too many columns",
     316: "a column with no value and no default",
     317: "not a date: expected 'YYYY-MM-DD'",
     318: "cannot drop the only column of a table",
@@ -58,13 +50,6 @@ TEXTS: dict[int, str] = {
     321: "a subquery may not refer to a column of the outer query",
     322: "a subquery used here must return exactly one column",
     400: "table is full",
-    401: "too many tables",
-    402: "too many groups",
-    403: "out of memory building the index",
-    404: "too many databases",
-    405: "the join produced too many rows",
-    406: "row is too large to store",
-    407: "out of memory",
     408: "a transaction is already open",
     409: "no transaction is open",
     410: "nothing to roll back to: this session has no database file",
@@ -73,7 +58,6 @@ TEXTS: dict[int, str] = {
     413: "row fails the table's CHECK",
     414: "text is longer than the column allows",
     415: "division by zero",
-    416: "too many columns",
     417: "a subquery compared with an operator must return one row",
     501: "error",
     600: "cannot open the database file",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +14,7 @@ from quern.functions.expressions import Bind, tolerant
 from quern.plans import ast
 from quern.plans.binder import NUMBERS, bend_pair, same_family
 
+_names = itertools.count(1)
 
 
 def unknown() -> Column:
@@ -46,10 +47,11 @@ class Conditions:
     loose: bool = False
     before: dict[str, tuple[Column, ast.Expr]] = field(default_factory=dict)
 
-    def column(self, node: ast.Condition) -> Column:
+    def column(self, node: ast.Condition, top: bool = False) -> Column:
+        """`top` says that only rows for which the condition is TRUE matter, so that UNKNOWN may be FALSE."""
         match node:
             case ast.And(left, right):
-                return self.column(left) & self.column(right)
+                return self.column(left, top) & self.column(right, top)
             case ast.Or(left, right):
                 return self.column(left) | self.column(right)
             case ast.Not(inner):
@@ -72,8 +74,7 @@ class Conditions:
                 out = self.any_of(inner, values)
                 return ~out if negated else out
             case ast.InSelect(inner, select, negated):
-                out = self.member(inner, select)
-                return ~out if negated else out
+                return self.member(inner, select, negated, top)
             case ast.Exists(select, negated):
                 out = self.plan(select)[0].exists()
                 return ~out if negated else out
@@ -131,15 +132,26 @@ class Conditions:
         left = self._comparable(left, types[0])
         return compare(op, tolerant(left, self.bind)[0], frame.scalar())
 
-    def member(self, inner: ast.Expr, select: ast.Select) -> Column:
+    def member(self, inner: ast.Expr, select: ast.Select, negated: bool, top: bool) -> Column:
+        """[NOT] IN (SELECT ...): a semi or anti join on equality, and what NULLs on either side add to it.
+
+        The join is a plain one, so that neither side has to be broadcast.
+        """
         frame, types = self.plan(select)
         if len(types) != 1:
             raise EngineError(322)
         inner = self._comparable(inner, types[0])
-        view, name = f"_in_{uuid.uuid4().hex}", f"_left_{len(self.before)}_{uuid.uuid4().hex[:8]}"
         value = tolerant(inner, self.bind)[0]
         if self.types(inner) == ast.NULL:
             value = value.cast(frame.schema[0].dataType)
-        frame.createOrReplaceTempView(view)
+        name, there = f"_left_{next(_names)}", F.col(f"`{frame.columns[0]}`")
         self.before[name] = (value, inner)
-        return F.expr(f"`{name}` in (select * from `{view}`)")
+        found = frame.where(there == F.col(name).outer()).exists()
+        if top and not negated:
+            return found
+        # -1 for an empty set, 1 for one with a NULL
+        nulls = frame.agg(F.coalesce(F.max(there.isNull().cast("int")), F.lit(-1))).scalar()
+        if top:
+            return ~found & ((nulls == -1) | (F.col(name).isNotNull() & (nulls == 0)))
+        out = F.when(found, F.lit(True)).when(nulls == -1, F.lit(False)).when(F.col(name).isNull() | (nulls == 1), unknown()).otherwise(F.lit(False))
+        return ~out if negated else out

@@ -168,36 +168,37 @@ class Mutations:
         return out.changed(slots=table.slots + n)
 
     def check_rows(self, table: Table, made: DataFrame, assigned: list[StoredColumn]) -> None:
-        """The first violation in the order of rows, then columns, then the table's CHECK."""
-        code = F.lit(None).cast("int")
-        found: list[Column] = []
+        """The first violation in the order of rows, then columns, then a column's rules, then the table's CHECK."""
+        found: list[Column] = []  # (place, code) of each rule that a row can break on its own
         stored = table.fields_frame(self.spark)
         clash = None
-        for column in table.columns:
+
+        def broken(condition: Column, place: int, code: int) -> Column:
+            return F.when(condition, F.struct(F.lit(place).alias("place"), F.lit(code).alias("code")))
+
+        for at, column in enumerate(table.columns):
             value = F.col(column.field)
             if column.not_null:
-                found.append(F.when(value.isNull(), 411))
+                found.append(broken(value.isNull(), 3 * at, 411))
             if column.size:
-                found.append(F.when(F.octet_length(value) > column.size, 414))
+                found.append(broken(F.octet_length(value) > column.size, 3 * at + 1, 414))
             if column.unique and column in assigned:
                 # a value that another row has, before the statement or after it
                 others = stored.select(F.col(RID).alias("_other"), F.col(column.field).alias("_value"))
                 before = made.join(others, (made[column.field] == others["_value"]) & (made[RID] != others["_other"])).select(RID)
                 twice = made.where(value.isNotNull()).groupBy(column.field).agg(F.count(F.lit(1)).alias("_n"), F.max(RID).alias(RID)).where("_n > 1").select(RID)
-                both = before.union(twice)
+                both = before.union(twice).select(RID, F.struct(F.lit(3 * at + 2).alias("place"), F.lit(412).alias("code")).alias("first"))
                 clash = both if clash is None else clash.union(both)
         if table.check is not None:
             scope = self.scope(table)
             condition = self.conditions(Namespace(""), scope).column(table.check)
-            found.append(F.when(~condition, 413))
-        for one in reversed(found):
-            code = F.coalesce(one, code)
-        bad = made.select(RID, code.alias("code")).where("code is not null")
+            found.append(broken(~condition, 3 * len(table.columns), 413))
+        bad = made.select(RID, F.coalesce(*found).alias("first")).where("first is not null") if found else None
         if clash is not None:
-            bad = bad.union(clash.select(RID, F.lit(412).alias("code")))
-        first = bad.orderBy(RID, F.when(F.col("code") == 413, 1).otherwise(0)).limit(1).collect()
-        if first:
-            raise EngineError(first[0]["code"])
+            bad = clash if bad is None else bad.union(clash)
+        first = None if bad is None else bad.agg(F.min(F.struct(RID, "first"))).first()[0]
+        if first is not None:
+            raise EngineError(first["first"]["code"])
 
     def vacuum(self, table: Table) -> Table:
         """Everything in one segment; old versions go with whoever holds them."""
@@ -210,7 +211,7 @@ class _Kept:
     def __init__(self, inner: Conditions):
         self.inner, self.before = inner, inner.before
 
-    def column(self, node: ast.Condition) -> Column:
+    def column(self, node: ast.Condition, top: bool = False) -> Column:
         return ~F.coalesce(self.inner.column(node), F.lit(False))
 
 

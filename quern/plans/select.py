@@ -36,7 +36,7 @@ class Planned:
 def filtered(frame: DataFrame, conditions: Conditions, condition: ast.Condition) -> DataFrame:
     """The rows for which the condition is TRUE."""
     conditions.before.clear()
-    column = conditions.column(condition)
+    column = conditions.column(condition, True)
     names = list(conditions.before)
     if names:
         frame = frame.withColumns({name: value for name, (value, _) in conditions.before.items()})
@@ -73,8 +73,7 @@ class SelectPlanner:
         if select.distinct:
             outputs = [f"o{i}" for i in range(len(out.headers))]
             if out.hidden:
-                first = F.min(F.struct(*out.hidden)).alias("h")
-                out.frame, out.hidden = out.frame.groupBy(*outputs).agg(first), ["h"]
+                out.frame, out.hidden = out.frame.groupBy(*outputs).agg(_first(out.hidden)), ["h"]
             else:
                 out.frame = out.frame.distinct()
         keys = [self.order_key(out, order, scope) for order in select.order]
@@ -101,7 +100,7 @@ class SelectPlanner:
             picked = [F.col(f"`{c.name}`").alias(c.id) for c in columns]
             if arrival:
                 picked.append(F.col(RID).alias(arrival[k]))
-            frames.append(table.frame(self.spark).select(picked))
+            frames.append(self.rows(table, select).select(picked))
             bound += columns
         self.ids += 1
         scope = Scope(bound, plain, outer)
@@ -116,9 +115,16 @@ class SelectPlanner:
                     frame = filtered(frame, self.conditions(upto), source.on)
         return frame, scope, arrival
 
+    def rows(self, table: Table | ExternalTable, select: ast.Select) -> DataFrame:
+        """A table's rows; where nothing but a LIMIT chooses among them, those of the first segments that have enough."""
+        plain = len(select.sources) == 1 and select.where is None and not (select.order or select.distinct or select.group)
+        if table.stored and plain and select.limit is not None and not any(isinstance(i.expr, ast.Aggregate) for i in select.items):
+            return table.first(select.limit).frame(self.spark)
+        return table.frame(self.spark)
+
     def left_join(self, left: DataFrame, right: DataFrame, scope: Scope, on: ast.Condition, k: int) -> DataFrame:
         conditions = self.conditions(scope)
-        column = conditions.column(on)
+        column = conditions.column(on, True)
         names = list(conditions.before)
         for name, (value, expr) in conditions.before.items():  # left sides of IN (SELECT ...) go where their columns are
             sides = {scope.resolve(n).source == k for n in _names(expr)}
@@ -197,7 +203,7 @@ class SelectPlanner:
             types.append(type_)
         hidden = ["h"] if arrival and keys else []
         if hidden:
-            aggregates.append(F.min(F.struct(*arrival)).alias("h"))
+            aggregates.append(_first(arrival))
         ids = list(dict.fromkeys(k.id for k in keys))
         grouped = frame.groupBy(*ids)
         frame = grouped.agg(*aggregates) if aggregates else frame.select(*ids).distinct()
@@ -260,6 +266,11 @@ class SelectPlanner:
         return found[0]
 
 
+def _first(arrival: list[str]) -> Column:
+    """When a group's first row came; of one table a plain number, so that hash aggregation stays possible."""
+    return F.min(arrival[0] if len(arrival) == 1 else F.struct(*arrival)).alias("h")
+
+
 class _Labels:
     """Labels of the select list as names, for type checks."""
 

@@ -73,6 +73,7 @@ class Table:
     next_rid: int = 0
     next_field: int = 0
     slots: int = 0  # rows ever placed since the last VACUUM
+    sources: tuple[tuple[str, int], ...] = ()  # streams that feed the table, with the last batch of each
     version: int = field(default_factory=lambda: next(_versions))
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -96,16 +97,26 @@ class Table:
         tail.append((self.next_rid, row))
         return self.changed(tail=tail, tailed=self.tailed + 1, next_rid=self.next_rid + 1, slots=self.slots + 1)
 
+    def first(self, rows: int) -> Table:
+        """The table with no more segments than hold its first rows; segments are in arrival order."""
+        kept, n = [], 0
+        for segment in self.segments:
+            if n >= rows:
+                return replace(self, segments=tuple(kept), tail=[], tailed=0)
+            kept.append(segment)
+            n += segment.rows
+        return replace(self, tailed=min(self.tailed, max(0, rows - n)))
+
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(RID, T.LongType()), *(T.StructField(c.field, SPARK_TYPES[c.type]) for c in self.columns)])
 
     def fields_frame(self, spark: SparkSession) -> DataFrame:
         """All rows: RID, and the columns by their fields."""
         parts = []
-        for segment in self.segments:
-            there = T.StructType([f for f in self.schema() if f.name == RID or f.name in segment.fields])
-            frame = spark.read.schema(there).parquet(segment.path)
-            fills = {c.field: F.lit(c.fill).cast(SPARK_TYPES[c.type]) for c in self.columns if c.field not in segment.fields}
+        for fields, segments in itertools.groupby(self.segments, lambda s: s.fields):  # one scan for all that have the same fields
+            there = T.StructType([f for f in self.schema() if f.name == RID or f.name in fields])
+            frame = spark.read.schema(there).parquet(*(s.path for s in segments))
+            fills = {c.field: F.lit(c.fill).cast(SPARK_TYPES[c.type]) for c in self.columns if c.field not in fields}
             parts.append(frame.select(RID, *(fills.get(c.field, F.col(c.field)).alias(c.field) for c in self.columns)))
         if self.tailed or not parts:
             rows = [(rid, *(row.get(c.field, c.fill) for c in self.columns)) for rid, row in self.tail[: self.tailed]]
