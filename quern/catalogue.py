@@ -6,12 +6,15 @@ text says the same in that engine's dialect.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import scripts
 from quern.operators.query import Query
+from quern.operators.storage import shared_folder
 from quern.plans.parser import parse
 from quern.session import Engine, Session
 
@@ -36,7 +39,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "where_error_is_null": ("select p_partkey from part where p_size/(p_size%5) is not null", "select p_partkey from part where p_size%5 <> 0"),
     "where_date_literal": ("select o_orderkey from orders where o_orderdate >= '1996-01-01'", "select o_orderkey from orders where cast(o_orderdate as date) >= date '1996-01-01'"),
     "where_is_null": (f"select c.c_custkey as k from customer c {HIGH.format('400000.0')} where o.o_orderkey is null", f"select c.c_custkey as k from customer c {HIGH.format('400000e0')} where o.o_orderkey is null"),
-    "where_is_not_null": ("select count(*) as n from events where value is not null", None),
+    "where_is_not_null": (f"select c.c_custkey as k from customer c {HIGH.format('400000.0')} where o.o_orderkey is not null", f"select c.c_custkey as k from customer c {HIGH.format('400000e0')} where o.o_orderkey is not null"),
     "where_in_list": ("select n_nationkey, n_name from nation where n_regionkey in (1, 3)", None),
     "where_not_in_list": ("select n_nationkey, n_name from nation where n_regionkey not in (1, 3)", None),
     "where_in_list_null": ("select n_nationkey from nation where n_regionkey in (1, NULL)", None),
@@ -184,12 +187,21 @@ def ddl_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constraint_check_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that a CHECK (s_acctbal > 0.0 or s_nationkey < 5) would refuse."""
-    return opened(spark, sf_dir).query("select s_suppkey from supplier where not (s_acctbal > 0.0 or s_nationkey < 5)")
+    """Suppliers one by one into a table with a CHECK: those that it lets in."""
+    session = opened(spark, sf_dir)
+    session.execute("create table ok (k bigint primary key, bal float, nation int, check (bal > 0.0 or nation < 5))")
+    rows = session.execute("select s_suppkey, s_acctbal, s_nationkey from supplier order by s_suppkey limit 60").rows()
+    session.script(f"insert into ok values ({k}, {bal!r}, {nation})" for k, bal, nation in rows)
+    return session.query("select k, bal, nation from ok")
 
 
 def constraint_unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return opened(spark, sf_dir).query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
+    """Customers one by one into a table with a unique nation: of each nation the first gets in."""
+    session = opened(spark, sf_dir)
+    session.execute("create table first (nation int unique, k bigint not null)")
+    rows = session.execute("select c_nationkey, c_custkey from customer order by c_custkey limit 80").rows()
+    session.script(f"insert into first values ({nation}, {k})" for nation, k in rows)
+    return session.query("select nation, k from first")
 
 
 def txn_rollback_is_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +215,17 @@ def txn_rollback_is_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def db_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = opened(spark, sf_dir)
-    for sql in ("create table t (x int)", "insert into t values (1)", "create database side", "use side", "create table t (x int)", "insert into t values (2)"):
+    for sql in ("create database side", "use side", "create table part (x int, s text)", "insert into part values (2, 'side')", "use main"):
         session.execute(sql)
-    return session.query("select x from t")
+    there, here = engine_session(session, "side"), session
+    return here.query("select p_partkey as k, p_name as s from part where p_partkey < 20").unionByName(there.query("select x as k, s from part").selectExpr("cast(k as bigint) as k", "s"))
+
+
+def engine_session(session: Session, database: str) -> Session:
+    """Another session of the same engine, in another database."""
+    other = session.engine.session()
+    other.execute(f"use {database}")
+    return other
 
 
 def vacuum_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +236,8 @@ def vacuum_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
     session = _copied(opened(spark, sf_dir), "supplier", SUPPLIER)
-    folder = tempfile.mkdtemp(prefix="quern-save-")
+    folder = f"{shared_folder(spark)}/save-{uuid.uuid4().hex}"
     session.save(folder)
     other = Engine(spark).session()
     other.load(folder)
@@ -245,18 +263,18 @@ WORK: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ddl_drop_column": (ddl_drop_column, "select s_suppkey, s_nationkey, s_acctbal from supplier"),
     "ddl_rename": (ddl_rename, "select s_suppkey, s_name as label from supplier"),
     "ddl_index_scan": (ddl_index_scan, "select s_suppkey from supplier where s_nationkey >= 20"),
-    "constraint_check_filter": (constraint_check_filter, "select s_suppkey from supplier where not (s_acctbal > 0 or s_nationkey < 5)"),
-    "constraint_unique_violations": (constraint_unique_violations, "select l_orderkey, l_linenumber, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1"),
+    "constraint_check_filter": (constraint_check_filter, "select s_suppkey as k, s_acctbal as bal, s_nationkey as nation from (select * from supplier order by s_suppkey limit 60) where s_acctbal > 0 or s_nationkey < 5"),
+    "constraint_unique_violations": (constraint_unique_violations, "select c_nationkey as nation, min(c_custkey) as k from (select * from customer order by c_custkey limit 80) group by c_nationkey"),
     "txn_rollback_is_identity": (txn_rollback_is_identity, "select s_suppkey, s_acctbal from supplier"),
-    "db_namespaces": (db_namespaces, "select cast(2 as int) as x"),
+    "db_namespaces": (db_namespaces, "select p_partkey as k, p_name as s from part where p_partkey < 20 union all select 2, 'side'"),
     "vacuum_keeps_rows": (vacuum_keeps_rows, "select s_suppkey from supplier where s_nationkey <> 3"),
     "save_load_roundtrip": (save_load_roundtrip, "select s_suppkey, s_name, s_acctbal from supplier"),
     "prepared_parameters": (prepared_parameters, "select p_partkey from part where p_size > 40 and p_brand like 'Brand#2%'"),
     "fluent_query": (fluent_query, "select c_nationkey as k, count(*) as n from customer join orders on c_custkey = o_custkey where o_totalprice > 250000 group by c_nationkey having count(*) > 1"),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(name, ours) for name, (ours, _) in STATEMENTS.items()} | {name: work for name, (work, _) in WORK.items()}
-ORACLE: dict[str, str] = {name: _oracle(name, theirs or ours) for name, (ours, theirs) in STATEMENTS.items()} | {name: sql for name, (_, sql) in WORK.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(name, ours) for name, (ours, _) in STATEMENTS.items()} | {name: work for name, (work, _) in WORK.items()} | scripts.QUERIES
+ORACLE: dict[str, str] = {name: _oracle(name, theirs or ours) for name, (ours, theirs) in STATEMENTS.items()} | {name: sql for name, (_, sql) in WORK.items()} | scripts.ORACLE
 
 for _text, _ in STATEMENTS.values():  # a slip in a text shows when this is read
     parse(_text)

@@ -200,9 +200,9 @@ class Mutations:
         if first is not None:
             raise EngineError(first["first"]["code"])
 
-    def vacuum(self, table: Table) -> Table:
-        """Everything in one segment; old versions go with whoever holds them."""
-        return self.store.compacted(table).changed(slots=table.rows)
+    def vacuum(self, table: Table, by: str | None = None) -> Table:
+        """Everything in one segment, in the order of an index if there is one; old versions go with whoever holds them."""
+        return self.store.compacted(table, by).changed(slots=table.rows)
 
 
 class _Kept:

@@ -42,10 +42,11 @@ class SegmentStore:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-    def write(self, table: Table, frame: DataFrame) -> Segment:
-        """A frame of RID and fields as a segment."""
+    def write(self, table: Table, frame: DataFrame, looked_up: str | None = None) -> Segment:
+        """A frame of RID and fields as a segment, with bloom filters for a field by which rows are looked up."""
         path = f"{self.folder}/{table.uid}/{uuid.uuid4().hex}"
-        frame.write.parquet(path)
+        bloom = {f"parquet.bloom.filter.enabled#{looked_up}": "true"} if looked_up else {}
+        frame.write.options(**bloom).parquet(path)
         rows = self.spark.read.parquet(path).count()  # from the files' footers
         return Segment(path, tuple(c.field for c in table.columns), rows)
 
@@ -57,16 +58,15 @@ class SegmentStore:
         segment = self.write(table, only_tail.fields_frame(self.spark).coalesce(1))
         return table.changed(segments=(*table.segments, segment), tail=[], tailed=0)
 
-    def rewritten(self, table: Table, frame: DataFrame, next_rid: int | None = None) -> Table:
+    def rewritten(self, table: Table, frame: DataFrame, next_rid: int | None = None, looked_up: str | None = None) -> Table:
         """The table with all its rows replaced by those of the frame (RID and fields)."""
-        segment = self.write(table, frame)
+        segment = self.write(table, frame, looked_up)
         return table.changed(segments=(segment,) if segment.rows else (), tail=[], tailed=0, next_rid=table.next_rid if next_rid is None else next_rid)
 
-    def compacted(self, table: Table) -> Table:
-        """All rows in one segment, dealt by arrival order so that files cover ranges of it."""
-        frame = table.fields_frame(self.spark)
-        parts = max(1, -(-table.rows // 1_000_000))
-        return self.rewritten(table, frame.repartitionByRange(parts, F.col(RID)).sortWithinPartitions(RID))
+    def compacted(self, table: Table, by: str | None = None) -> Table:
+        """All rows in one segment, sorted by an indexed field or else by arrival, so that files and row groups cover ranges of it."""
+        frame, parts = table.fields_frame(self.spark), max(1, -(-table.rows // 1_000_000))
+        return self.rewritten(table, frame.repartitionByRange(parts, by or RID).sortWithinPartitions(by or RID, RID), looked_up=by)
 
 
 _unnamed: list[SegmentStore] = []

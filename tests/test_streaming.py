@@ -1,5 +1,7 @@
 """Appending batches and streams to stored tables (an extension)."""
 
+import os
+
 import pytest
 from pyspark.sql import types as T
 
@@ -24,3 +26,18 @@ def test_append_and_follow(spark, tmp_path):
     query = follow(session, "t", stream, str(tmp_path / "state"), availableNow=True)
     query.awaitTermination(60)
     assert session.execute("select count(*), max(k) from t").rows() == [(5, 11)]
+
+
+def test_a_batch_is_added_once_and_a_refused_one_leaves_nothing(spark):
+    engine = Engine(spark)
+    session = engine.session()
+    session.execute("create table t (a int not null)")
+    batch = spark.range(3).selectExpr("cast(id as int) as a")
+    assert append(session, "t", batch, ("s", 0)) == 3 and append(session, "t", batch, ("s", 0)) == 0
+    assert append(session, "t", batch.limit(0), ("s", 1)) == 0 and append(session, "t", batch, ("s", 1)) == 0
+    assert append(session, "t", batch, ("other", 0)) == 3 and session.execute("select count(*) from t").rows() == [(6,)]
+    folder = f"{engine.store.folder}/{session.space().table('t').uid}".removeprefix("file://")
+    before = sorted(os.listdir(folder))
+    with pytest.raises(EngineError):
+        append(session, "t", batch.selectExpr("cast(null as int) as a"))
+    assert sorted(os.listdir(folder)) == before

@@ -231,3 +231,100 @@ def test_shell(spark, tmp_path):
         "table t created with 2 column(s)\n1 row inserted into t\na | f\n1 | 0.333333\n(1 row)\nerror 300: no such table\n"
         f"--- catalog (main) ---\nt(a int, f float)\nunrecognised command: .nothing\nsaved to {tmp_path}/s\n"
     )
+
+
+def test_an_index_sorts_the_rows(spark):
+    import pyarrow.parquet as pq
+
+    from quern.streaming import append
+
+    session = Engine(spark).session()
+    session.execute("create table t (a int, b text)")
+    append(session, "t", spark.range(5000).selectExpr("cast(id * 7919 % 5000 as int) as a", "cast(id as string) as b").repartition(3))
+    before = session.execute("select a, b from t limit 5").rows()
+    session.execute("create index by_a on t (a)")
+    (segment,) = session.space().table("t").segments
+    path = segment.path.removeprefix("file://")
+    (file,) = [f"{path}/{n}" for n in os.listdir(path) if n.endswith(".parquet")]
+    table = pq.read_table(file)
+    assert table.column("f0").to_pylist() == list(range(5000))
+    assert pq.ParquetFile(file).metadata.row_group(0).column(1).statistics.max == 4999
+    assert session.execute("select a, b from t limit 5").rows() == before  # arrival order is as it was
+    session.execute("insert into t values (-1, 'new')")
+    session.execute("vacuum t")
+    assert session.execute("select b from t where a = -1").rows() == [("new",)]
+
+
+def test_a_transaction_is_seen_at_commit_only(spark):
+    engine = Engine(spark)
+    one, two = engine.session(), engine.session()
+    one.execute("create table t (a int)")
+    one.execute("begin")
+    one.execute("insert into t values (1)")
+    one.execute("create table u (a int)")
+    assert one.execute("select a from t").rows() == [(1,)] and two.execute("select a from t").rows() == []
+    with pytest.raises(EngineError):
+        two.execute("select a from u")
+    one.execute("commit")
+    assert two.execute("select a from t").rows() == [(1,)] and two.execute("select a from u").rows() == []
+    one.execute("begin")
+    one.execute("update t set a = 2")
+    one.close()
+    assert two.execute("select a from t").rows() == [(1,)]
+
+
+def test_updates_break_rules_in_order(spark):
+    session = Engine(spark).session()
+    session.execute("create table t (a int unique, b int not null)")
+    session.execute("insert into t values (1, 1)")
+    session.execute("insert into t values (2, 2)")
+    with pytest.raises(EngineError) as error:
+        session.execute("update t set a = 1, b = NULL where a = 2")
+    assert error.value.code == 412
+
+
+def test_a_limit_reads_the_first_segments(spark):
+    from quern.streaming import append
+
+    session = Engine(spark).session()
+    session.execute("create table t (a int)")
+    for k in range(3):
+        append(session, "t", spark.range(10 * k, 10 * k + 10).selectExpr("cast(id as int) as a"))
+    table = session.space().table("t")
+    assert len(table.first(10).segments) == 1 and len(table.first(11).segments) == 2 and table.first(0).segments == ()
+    plan = session.query("select a from t limit 4")._jdf.queryExecution().optimizedPlan().toString()
+    assert session.execute("select a from t limit 4").rows() == [(0,), (1,), (2,), (3,)]
+    assert session.execute("select a from t limit 25").rows()[-1] == (24,) and "Union" not in plan
+
+
+def test_the_plans_of_stored_tables(spark):
+    session = Engine(spark).session()
+    session.execute("create table t (a int, b text)")
+    session.execute("insert into t values (1, 'x')")
+    session.execute("vacuum t")
+    plan = lambda sql: session.query(sql)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan("select a from t") and "HashAggregate" in plan("select b, count(*) from t group by b")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan("select a from t where a not in (select a from t where b = 'y')")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "LeftAnti" in found and "Broadcast" not in found
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("_in_")]
+
+
+def test_a_folder_that_only_hadoop_reads(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.quern.link./db", f"file://{tmp_path}")
+    engine = Engine(spark, "viewfs://quern/db")
+    session = engine.session()
+    session.execute("create table t (a int primary key, b text)")
+    session.execute("insert into t values (1, 'x')")
+    session.execute("insert into t values (2, 'y')")
+    session.execute("delete from t where a = 1")
+    session.execute("vacuum t")
+    assert Engine(spark, "viewfs://quern/db").session().execute("select a, b from t").rows() == [(2, "y")]
+    session.save("viewfs://quern/db/saved")
+    other = Engine(spark).session()
+    other.load("viewfs://quern/db/saved")
+    assert other.execute("select a from t").rows() == [(2,)]
