@@ -19,8 +19,6 @@ from quern.llm.common import prepare, texts
 
 PROFILE = 400  # n-grams of a profile and of a document
 UNKNOWN = "und"
-# Languages that are told apart at most; more than that isn't broadcast but refused.
-MAX_LANGUAGES = 2000
 # Characters counted at once, and distinct n-grams of a language that a task holds before it hands them on.
 _CHUNK, _HELD = 1 << 20, 1 << 18
 
@@ -115,21 +113,23 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = counts.withColumn("place", place).where(F.col("place") <= size).limit(MAX_LANGUAGES * size + 1).toPandas()
-    if best["lang"].nunique() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    best = counts.withColumn("place", place).where(F.col("place") <= size).toPandas()
     return {lang: part.sort_values("place")["gram"].to_numpy() for lang, part in best.groupby("lang")}
 
 
 class Profiles:
-    """Language profiles and the out-of-place distance to them."""
+    """Language profiles and the out-of-place distance to them; they take some 12 bytes an n-gram of each."""
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE):
         self.size, self.names = size, sorted(profiles)
-        self.grams = np.unique(np.concatenate([profiles[n] for n in self.names])) if self.names else np.zeros(0, np.int64)
-        self.ranks = np.full((len(self.grams) + 1, len(self.names)), -1, dtype=np.int32)
-        for k, name in enumerate(self.names):
-            self.ranks[np.searchsorted(self.grams, profiles[name]), k] = np.arange(len(profiles[name]))
+        grams = np.concatenate([np.zeros(0, np.int64), *(profiles[n] for n in self.names)])
+        order = np.argsort(grams, kind="stable")
+        sizes = [len(profiles[n]) for n in self.names]
+        # the n-grams of all profiles in order, and for each its languages and ranks from `first` on
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams)).astype(np.int64)
+        self.lang = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
+        self.rank = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])[order].astype(np.int32)
 
     def predict(self, grams: np.ndarray) -> tuple[str, float]:
         """(language, score) of a document's n-grams; the score is 1 less the distance's share of the greatest."""
@@ -138,10 +138,12 @@ class Profiles:
         found, n = np.unique(grams, return_counts=True)
         top = np.lexsort((found, -n))[: self.size] if len(found) <= self.size else _first(found, n, self.size)
         own = found[top]
-        at = np.searchsorted(self.grams, own)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
-        there = self.ranks[at]
-        away = np.where(there < 0, self.size, np.abs(there - np.arange(len(own))[:, None])).sum(axis=0)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        place = np.flatnonzero(self.grams[at] == own)
+        low, n = self.first[at[place]], self.first[at[place] + 1] - self.first[at[place]]
+        entry = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        nearer = self.size - np.abs(self.rank[entry] - np.repeat(place, n))  # than an n-gram that is missing
+        away = self.size * len(own) - np.bincount(self.lang[entry], weights=nearer, minlength=len(self.names))
         best = int(np.argmin(away))
         return self.names[best], float(1 - away[best] / (self.size * len(own)))
 
