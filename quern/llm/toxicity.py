@@ -22,8 +22,6 @@ from quern.llm.linear import Logistic
 
 # Labelled rows that lexicon and score are fitted on at most, the first by the hash of their ids.
 MAX_LABELLED = 40_000
-# Words of the lexicon at most; they are ranked by how surely they tell the classes apart.
-MAX_LEXICON = 50_000
 # A word enters the lexicon with so many toxic rows and so large a G statistic at least.
 LEAST_ROWS, LEAST_G = 3, 12.0
 
@@ -39,7 +37,8 @@ SIGN_COST, STOP_COST, DROP_COST, RUN_COST = 1.0, 0.1, 9.0, 0.7
 _LETTERS = 28  # a to z, any other letter, a word's edge
 _EDGE, _OTHER = 0, 27
 _CODES = {chr(97 + i): i + 1 for i in range(26)}
-_APART = re.compile(r"(?<!\S)\S(?:[ \t.\-_]\S){2,}(?![^\s.,;:!?])")
+_APART = re.compile(r"(?<!\S)\S(?:[ \t.\-_]{1,3}\S){2,}(?![^\s.,;:!?])")
+_GAP = re.compile(r"[ \t.\-_]{1,3}")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _SIGN = re.compile("[" + re.escape("".join(LOOKALIKES)) + ".\\-_~^#%&]")
 _ENDS = ".,;:?'\"`)]}>([{<!-_~^#%&*$@|+/\\=…«»“”’"
@@ -94,6 +93,17 @@ class LetterModel:
 
     def restore(self, token: str) -> str:
         """The likeliest reading of a token: letters only, the best path through its lattice."""
+        return self._path(self._lattice(token))
+
+    def restore_apart(self, chunks: list[str]) -> list[str]:
+        """The likeliest words of characters that stand apart: each gap is dropped, or is a word's edge."""
+        lattice = self._lattice(chunks[0])
+        for chunk in chunks[1:]:
+            lattice += [[("", STOP_COST), (" ", 0.0)], *self._lattice(chunk)]
+        return self._path(lattice).split()
+
+    def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
+        """For each sign or run of one sign, the letters that it may stand for, with their costs."""
         lattice: list[list[tuple[str, float]]] = []
         at = 0
         while at < len(token):
@@ -110,6 +120,9 @@ class LetterModel:
                 steps.append(("", DROP_COST if c in LOOKALIKES else STOP_COST))
             lattice.append(steps)
             at += run
+        return lattice
+
+    def _path(self, lattice: list[list[tuple[str, float]]]) -> str:
         best: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
         for steps in lattice:
             after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -117,9 +130,9 @@ class LetterModel:
                 for letters, cost in steps:
                     x, y, s = a, b, sum_ - cost
                     for letter in letters:
-                        z = _code(letter)
+                        z = _EDGE if letter == " " else _code(letter)
                         s += self.log[x][y][z]
-                        x, y = y, z
+                        x, y = (y, z) if z else (_EDGE, _EDGE)
                     if (x, y) not in after or s > after[x, y][0]:
                         after[x, y] = (s, word + letters)
             best = after
@@ -171,7 +184,8 @@ class Reader:
         for found in map(self.words.__getitem__, set(low.split())):
             out.update(found)
         for match in _APART.finditer(low):
-            out.add(self.model.restore(re.sub(r"[ \t.\-_]", "", match[0])))
+            chunks = [c for c in _GAP.split(match[0]) if c]
+            out.update([self.model.restore("".join(chunks)), *self.model.restore_apart(chunks)] if chunks else [])
         return out
 
 
@@ -198,7 +212,7 @@ def _lexicon(read: DataFrame) -> dict[str, float]:
     g = 2 * (F.col("k") * F.log(F.col("k") / expect) + F.when(other > 0, other * F.log(other / other_expect)).otherwise(0.0))
     odds = F.log((F.col("k") + 0.5) / (toxic + 1)) - F.log((other + 0.5) / (clean + 1))
     best = words.select("word", odds.alias("odds"), g.alias("g")).where((F.col("g") >= LEAST_G) & (F.col("odds") > 0))
-    return dict(best.orderBy(F.desc("g"), "word").limit(MAX_LEXICON).select("word", "odds").toPandas().itertuples(index=False))
+    return dict(best.select("word", "odds").toPandas().itertuples(index=False))  # of a sample of MAX_LABELLED rows
 
 
 def features(odds: list[float], n_words: int) -> list[float]:

@@ -41,6 +41,21 @@ def test_grams(text, monkeypatch):
         assert sorted(np.unique(found, return_counts=True)[1].tolist()) == brute_grams(text)
 
 
+def test_distance_and_choice():
+    """Against the distance as it is defined, for more languages than any list of them."""
+    chance = np.random.default_rng(8)
+    names = [f"l{k:04d}" for k in range(3000)]
+    profiles = {n: chance.permutation(60)[: chance.integers(1, 9)].astype(np.int64) for n in names}
+    model = language_id.Profiles(profiles, 8)
+    for _ in range(20):
+        grams = chance.integers(0, 70, chance.integers(1, 40)).astype(np.int64)
+        count = Counter(grams.tolist())
+        own = sorted(count, key=lambda g: (-count[g], g))[:8]
+        away = {n: sum(abs(profiles[n].tolist().index(g) - i) if g in profiles[n] else 8 for i, g in enumerate(own)) for n in names}
+        best = min(names, key=lambda n: (away[n], n))
+        assert model.predict(grams) == (best, pytest.approx(1 - away[best] / (8 * len(own))))
+
+
 @needs_data
 def test_language_held_out(spark):
     found = queries.op1_language_id(spark, SF)
@@ -164,6 +179,25 @@ def test_read(letters):
     words = toxicity.Reader(letters).read("You i d i o t, m-o-r-o-n! The trash&&& ###")
     assert {"you", "idiot", "moron", "trash", "the"} <= words
     assert toxicity.Reader(letters).read("") == set()
+    assert {"a", "moron"} <= toxicity.Reader(letters).read("you are a m o r o n.")
+    assert "idiot" in toxicity.Reader(letters).read("an i  d  i  0  t")
+
+
+def test_the_path_is_the_best_of_all(letters):
+    """Viterbi against every path through small lattices."""
+    import itertools
+
+    for token in ("1d10t", "m0*n", "$t", "b@@@d", "g00d", "!!"):
+        lattice, best = letters._lattice(token), (-1e9, "")
+        for path in itertools.product(*lattice):
+            a = b = 0
+            total, word = -sum(cost for _, cost in path), "".join(x for x, _ in path)
+            for c in word:
+                z = toxicity._code(c)
+                total += letters.log[a][b][z]
+                a, b = b, z
+            best = max(best, (total + letters.log[a][b][0] if word else total - 30.0, word))
+        assert letters.restore(token) == best[1]
 
 
 @needs_data
