@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, parted
+from quern.llm.common import Scratch, bit_filter, filter_bits, parted, passing
 
 WINDOW = 10
 # The normalisation that the contract states.
@@ -19,9 +19,9 @@ RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# A benchmark of more distinct anchors or windows than this isn't broadcast; its windows are joined by shuffle.
-MAX_BROADCAST_ANCHORS = 50_000
-MAX_BROADCAST_WINDOWS = 500_000
+# Bytes of a benchmark's distinct anchors and of its windows up to which they are broadcast; beyond that windows are
+# joined by shuffle, and only words that pass a bit filter over the anchors travel.
+MAX_ANCHOR_BYTES, MAX_WINDOW_BYTES = 1 << 20, 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -69,12 +69,15 @@ def contamination(
     scratch = Scratch(spark, "decontaminate")
     windows = scratch.table(benchmark_windows(benchmark, item_col, "text", window), "windows")
     anchors = windows.select("anchor").distinct()
-    small = windows.count() <= MAX_BROADCAST_WINDOWS and anchors.count() <= MAX_BROADCAST_ANCHORS
+    weight = F.octet_length("phrase") + F.octet_length("anchor") + F.octet_length(F.array_join("items", " ")) + 64
+    window_bytes = windows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    n_anchors, anchor_bytes = anchors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("anchor") + 16), F.lit(0))).first()
+    small = window_bytes <= MAX_WINDOW_BYTES and anchor_bytes <= MAX_ANCHOR_BYTES
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), words_of(F.col(text_col)).alias("words"))
     everywhere = F.sequence(F.lit(0), F.size("words") - 1)
     if small:
-        known = [r["anchor"] for r in anchors.collect()]  # bounded by MAX_BROADCAST_ANCHORS
+        known = [r["anchor"] for r in anchors.collect()]  # at most MAX_ANCHOR_BYTES
         found = F.filter(everywhere, lambda i: F.get("words", i).isin(known)) if known else F.array().cast("array<int>")
     else:
         found = everywhere
@@ -87,9 +90,13 @@ def contamination(
             F.slice("words", F.greatest(i - (window - 1), F.lit(0)) + 1, 2 * window - 1).alias("near"),
         ),
     )
-    scanned = scratch.table(rows.select("doc_id", "text_key", F.size("words").alias("n_words"), around.alias("around")), "scanned")
-
-    near = scanned.where(F.size("around") > 0).select("doc_id", "text_key", F.inline("around"))
+    scanned = rows.select("doc_id", "text_key", F.size("words").alias("n_words"), around.alias("around"))
+    if small:
+        scanned = scratch.table(scanned, "scanned")
+        near = scanned.where(F.size("around") > 0).select("doc_id", "text_key", F.inline("around"))
+    else:
+        word, bits = F.xxhash64("anchor"), filter_bits(n_anchors)
+        near = passing(scanned.select("doc_id", "text_key", F.inline("around")), word, bits, bit_filter(anchors, word, bits))
     met = near.join(F.broadcast(windows) if small else windows, "anchor")
     met = met.where((F.col("before") >= F.col("off")) & (_phrase(F.slice("near", F.col("before") - F.col("off") + 1, F.col("size"))) == F.col("phrase")))
     met = met.select("doc_id", "text_key", F.sequence(F.col("at") - F.col("off"), F.col("at") - F.col("off") + F.col("size") - 1).alias("covered"), "items")

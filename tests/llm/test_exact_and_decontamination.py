@@ -103,7 +103,7 @@ DOCS = [
 
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_hits(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontamination, "MAX_BROADCAST_ANCHORS", limit)
+    monkeypatch.setattr(decontamination, "MAX_ANCHOR_BYTES", limit)
     found = decontamination.contamination(spark, table(spark, DOCS), table(spark, ITEMS, "item_id long, text string"))
     got = sorted(((r["doc_id"], r["n_words"], r["hits"], r["items"]) for r in found.collect()), key=str)
     assert got == brute_hits(DOCS, ITEMS)
