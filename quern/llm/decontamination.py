@@ -80,6 +80,7 @@ def contamination(
         known = [r["anchor"] for r in anchors.collect()]  # at most MAX_ANCHOR_BYTES
         found = F.filter(everywhere, lambda i: F.get("words", i).isin(known)) if known else F.array().cast("array<int>")
     else:
+        rows = scratch.table(rows, "words")  # else each word would split its text again
         found = everywhere
     around = F.transform(
         F.when(F.size("words") > 0, found).otherwise(F.array().cast("array<int>")),
