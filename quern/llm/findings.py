@@ -102,6 +102,7 @@ class Maker:
             "capitals": lambda: "_".join(word().upper() for _ in range(chance.randint(2, 5))),
             "number": lambda: pick(_DIGITS, 12, 24),
             "time": lambda: f"20{pick(_DIGITS, 2)}-0{pick('123456789', 1)}-1{pick(_DIGITS, 1)}T1{pick(_DIGITS, 1)}:{pick('012345', 1)}{pick(_DIGITS, 1)}",
+            "serial": lambda: chance.choice(("-", "")).join(pick(_UPPER + _DIGITS, chance.choice((4, 5))) for _ in range(chance.randint(3, 5))),
             "phone": lambda: "-".join(pick(_DIGITS, k) for k in (3, 3, 4)) + "-" + pick(_DIGITS, 2),
             "rule": lambda: chance.choice("-=._/+") * chance.randint(12, 70),
             "placeholder": lambda: chance.choice(("your_api_key_here", "changeme", "xxxxxxxxxxxxxxxx", "REPLACE_ME_PLEASE", "${SECRET_TOKEN}", "<your-token-here>", "example_password", "insert-token-here", "process.env.API_KEY", "os.environ.get", "placeholder")),
@@ -146,7 +147,8 @@ class Maker:
         settings = self.settings(name, value)
         if setting is None:
             fits = [s for s in settings if (form != "password" or s not in ("prose", "yaml", "flag", "query", "header")) and (s != "connection" or form in ("password", "random", "hex") or not secret)]
-            if not secret and form not in ("digest", "placeholder") and self.chance.random() < 0.4:
+            told = form in ("cloud id", "forge", "payment", "chat", "maps", "jwt") if secret else form not in ("digest", "placeholder")
+            if told and self.chance.random() < 0.4:  # nothing beside it says what it is
                 settings, fits = {"bare": ("", "")}, ["bare"]
             setting = self.chance.choice(fits)
         before, after = settings[setting]
@@ -154,7 +156,7 @@ class Maker:
         return Line(head + value + after + f" {self.around()}", len(head), len(head) + len(value), self.path(), int(secret), f"{form}, {setting}")
 
 
-def labelled_lines(n: int = 8000, seed: int = 11) -> list[Line]:
+def labelled_lines(n: int = 12_000, seed: int = 11) -> list[Line]:
     """`n` lines, every other with a secret."""
     maker = Maker(seed)
     return [maker.line(bool(i % 2)) for i in range(n)]

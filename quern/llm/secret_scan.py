@@ -31,7 +31,7 @@ _VALUE = re.compile(
     r"""[=:]\s?(["'])(?P<quoted>[^\s"']{6,})\1"""  # = "value"
     r"""|=(?P<assigned>[^\s"'&;,<>()=]{8,}={0,2})(?![^\s"'&;,)])"""  # =value
 )
-_RUN = re.compile(r"[A-Za-z0-9_+/.\-]{12,}(?:={1,2}(?![A-Za-z0-9_+/=\"']))?")  # of signs that keys are made of, perhaps padded
+_RUN = re.compile(r"""[A-Za-z0-9_+/.\-]{12,}(?:={1,2}(?![A-Za-z0-9_+/=]|["'][^\s"',;)}\]]))?""")  # of signs that keys are made of, perhaps padded
 _LONG = 16  # a shorter run needs a digit
 BESIDE = 40  # characters on either side that are looked at
 # A word is in the dictionary if it makes up so large a share of all words of 3 to 8 letters: at most 100,000 do.
