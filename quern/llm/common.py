@@ -24,11 +24,13 @@ _BITMAP_BITS = 32768  # bits of one bitmap that bitmap_construct_agg makes
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Where the setting is missing, as in tests on one machine, a folder of this
-    machine is made and set as the checkpoint folder.
+    Where the setting is missing on one machine, as in tests, a folder of this
+    machine is made and set as the checkpoint folder; on a cluster that fails.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

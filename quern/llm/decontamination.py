@@ -121,7 +121,7 @@ def decontaminate(
     item_col: str = "item_id",
     window: int = WINDOW,
 ) -> DataFrame:
-    """`docs` without benchmark passages, with all its columns.
+    """`docs` without benchmark passages, with all its columns; null and empty texts, null ids and repeated rows without hits stay.
 
     `remove="documents"` drops every document with a hit; `remove="spans"` keeps
     it and takes the hit words and the separators after them out of its text.

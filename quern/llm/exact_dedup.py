@@ -1,10 +1,12 @@
 """Exact deduplication with a log-structured merge index of digests.
 
 Each task is a memtable: it flushes the digests of the rows it read as one
-sorted run, with min/max statistics and bloom filters in the file.  Compaction
-merges runs and keeps, for each digest, the number of rows and the identifier
-that stays.  A digest with several rows is only a hit; the normalised texts
-are then compared byte by byte before rows count as equal.
+sorted run.  Compaction merges all runs into one level by a sort aggregation,
+and keeps, for each digest, the number of rows and the identifier that stays.
+A bit filter over the digests of several rows is what lookups probe; those
+that pass are only hits, and their normalised texts are compared byte by byte
+before rows count as equal.  A whole table is one batch, so there are two
+levels; the files' own bloom filters serve later lookups of single digests.
 
 Everything is DataFrame work: no row leaves the JVM.
 """
@@ -121,7 +123,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """The rows of `docs` that stay, with all their columns.
 
     The verdict is joined on the id and the digest of the text, so that rows
-    that merely share an id are judged apart.
+    that merely share an id are judged apart; repeated rows stay or go
+    together.  Null and empty texts are equal to each other, so one of them
+    stays; a null id stays only where its text has no other.  An empty table
+    gives an empty result.
     """
     scratch = Scratch(spark, "copies")
     verdict = exact_dedup(spark, docs, id_col, text_col)

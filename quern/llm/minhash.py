@@ -458,7 +458,11 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns: of each group the smallest id; rows with a null id stay."""
+    """The rows of `docs` that stay, with all their columns: of each group the smallest id.
+
+    Rows with a null id, and null and empty texts, stay; rows that share the id
+    that stays all stay.  An empty table gives an empty result.
+    """
     scratch = Scratch(spark, "near-gone")
     found = near_duplicates(spark, docs, id_col, text_col, words, percent)
     gone = scratch.table(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("quern_gone")).distinct(), "gone")

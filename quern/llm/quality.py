@@ -324,7 +324,12 @@ def keep_good(
     categories: tuple[str, ...] = CATEGORIES,
     numbers: tuple[str, ...] = NUMBERS,
 ) -> DataFrame:
-    """The rows of `docs` whose score reaches the threshold, with all their columns, in one pass without a shuffle."""
+    """The rows of `docs` whose score reaches the threshold, with all their columns, in one pass without a shuffle.
+
+    Null and empty texts, nulls in metadata and null ids are scored like any
+    other row, repeated rows alike; without labels every row stays.  An empty
+    table gives an empty result.
+    """
     prepare(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, categories, numbers, F.lit(True)))
     at = docs.columns.index
