@@ -13,9 +13,11 @@ from quern.sources.catalog import RID, Segment, Table
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; without the setting one of this machine, for single-node use."""
+    """The folder that driver and executors share; without the setting one of this machine, if it is the only one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
