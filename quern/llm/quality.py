@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, catego
     if len({*label.tolist()}) < 2:
         return Constant(float(label.max()) if len(label) else 1.0)
     views = [_unpacked(found.column(c).combine_chunks()) for c in ("text_view", "meta_view")]  # of 32 bits, some 900 bytes a row
-    order = np.lexsort((label, *([zlib.crc32(r) for r in view] for view in views)))  # whatever order the rows arrived in
+    order = np.lexsort((views[0][:, 0], [zlib.crc32(r) for r in views[0]]))  # whatever order the rows arrived in
     views = [view[order] for view in views]
     del found
     id_type = all_.schema["doc_id"].dataType.simpleString()
