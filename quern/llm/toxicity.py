@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ _APART = re.compile(r"(?<!\S)\S(?:[ \t.\-_]{1,3}\S){2,}(?![^\s.,;:!?])")
 _GAP = re.compile(r"[ \t.\-_]{1,3}")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _SIGN = re.compile("[" + re.escape("".join(LOOKALIKES)) + ".\\-_~^#%&]")
+_LOOKALIKE = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _ENDS = ".,;:?'\"`)]}>([{<!-_~^#%&*$@|+/\\=…«»“”’"
 
 
@@ -157,20 +159,26 @@ class _Words(dict):
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         plain = token.strip(_ENDS)
-        words = {plain} if plain else set()
-        letters = sum(c.isalpha() for c in token)
-        if letters and (_RUN.search(token) or _SIGN.search(plain) or (token != plain and any(c in LOOKALIKES for c in token))):
-            words.update((self.model.restore(token), self.model.restore(plain)))
-            words.update(w for w in re.split(r"[^\w]+", plain) if len(w) > 1)
-        elif not letters and sum(c in LOOKALIKES for c in token) > 1:
-            words.update(w for w in {self.model.restore(token), self.model.restore(plain)} if self.model.readable(w))
-        out = tuple(sorted(w for w in words if w))
+        if plain.isalpha() and not _RUN.search(plain) and (len(plain) == len(token) or not _LOOKALIKE.search(token)):
+            out: tuple[str, ...] = (plain,)  # nothing of it may be a disguise
+        else:
+            out = self._suspicious(token, plain)
         if len(token) <= 64:
             if len(self) >= 200_000:
                 self.clear()
             self[token] = out
         return out
 
+    def _suspicious(self, token: str, plain: str) -> tuple[str, ...]:
+        words = {plain}
+        letters = any(map(str.isalpha, token))
+        if letters and (_RUN.search(token) or _SIGN.search(plain) or (token != plain and _LOOKALIKE.search(token))):
+            words.update(map(self.model.restore, {token, plain}))
+            words.update(w for w in re.split(r"[^\w]+", plain) if len(w) > 1)
+        elif not letters and len(_LOOKALIKE.findall(token)) > 1:
+            words.update(filter(self.model.readable, map(self.model.restore, {token, plain})))
+        return tuple(sorted(w for w in words if w))
+
 
 class Reader:
     """The distinct words that a text may mean."""
@@ -180,9 +188,7 @@ class Reader:
 
     def read(self, text: str) -> set[str]:
         low = text.lower()
-        out: set[str] = set()
-        for found in map(self.words.__getitem__, set(low.split())):
-            out.update(found)
+        out = set(chain.from_iterable(map(self.words.__getitem__, set(low.split()))))
         for match in _APART.finditer(low):
             chunks = [c for c in _GAP.split(match[0]) if c]
             out.update([self.model.restore("".join(chunks)), *self.model.restore_apart(chunks)] if chunks else [])
@@ -194,19 +200,24 @@ def _read(shared):
         reader = Reader(shared.value)
         for batch in batches:
             read = [sorted(reader.read(t)) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(read, pa.list_(pa.string()))], ["label", "fold", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(read, pa.list_(pa.string()))], ["label", "words"])
 
     return run
 
 
-def _lexicon(read: DataFrame) -> dict[str, float]:
-    """Log-odds of words that tell toxic rows from others, from the rows of fold 0."""
-    rows = read.where("fold = 0")
-    n = rows.groupBy("label").count().toPandas().set_index("label")["count"]
+def _meant(sample: DataFrame, letters) -> DataFrame:
+    """(label, words) of the rows of a sample."""
+    return sample.select("label", "text").mapInArrow(_read(letters), "label int, words array<string>")
+
+
+def _lexicon(sample: DataFrame, letters) -> dict[str, float]:
+    """Log-odds of words that tell toxic rows from others, from the rows of fold 0, which are read once."""
+    fold = sample.where("fold = 0")
+    n = fold.groupBy("label").count().toPandas().set_index("label")["count"]
     toxic, clean = float(n.get(1, 0)), float(n.get(0, 0))
     if not toxic or not clean:
         return {}
-    words = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("m")).where(F.col("k") >= LEAST_ROWS)
+    words = _meant(fold, letters).select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("m")).where(F.col("k") >= LEAST_ROWS)
     expect = F.col("m") * (toxic / (toxic + clean))
     other, other_expect = F.col("m") - F.col("k"), F.col("m") - expect
     g = 2 * (F.col("k") * F.log(F.col("k") / expect) + F.when(other > 0, other * F.log(other / other_expect)).otherwise(0.0))
@@ -265,17 +276,15 @@ def score(
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(2)).cast("int"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = rows.join(F.broadcast(known), "doc_id").drop("doc_id")  # at most MAX_LABELLED ids
-    read = sample.mapInArrow(_read(letters), "label int, fold int, words array<string>")
-    lexicon = _lexicon(read)
-    weights = None
-    if lexicon:
-        weights = _fit(read, lexicon, spark)
+    lexicon = _lexicon(sample, letters)
+    weights = _fit(sample, letters, lexicon, spark) if lexicon else None
     shared = spark.sparkContext.broadcast((model, lexicon, weights))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.withColumn("held_out", held_out).mapInArrow(_score(shared), f"doc_id {id_type}, held_out boolean, score double")
 
 
-def _fit(read: DataFrame, lexicon: dict[str, float], spark: SparkSession) -> Logistic | None:
+def _fit(sample: DataFrame, letters, lexicon: dict[str, float], spark: SparkSession) -> Logistic | None:
+    """The score of the lexicon's findings, from the rows of fold 1, which are read once."""
     shared = spark.sparkContext.broadcast(lexicon)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +292,7 @@ def _fit(read: DataFrame, lexicon: dict[str, float], spark: SparkSession) -> Log
             found = [features([shared.value[w] for w in words if w in shared.value], len(words)) for words in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
-    found = read.where("fold = 1").mapInArrow(look, "label int, x array<double>").toPandas()
+    found = _meant(sample.where("fold = 1"), letters).mapInArrow(look, "label int, x array<double>").toPandas()
     label = found["label"].to_numpy()
     if len({*label.tolist()}) < 2:
         return None
