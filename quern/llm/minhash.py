@@ -253,32 +253,50 @@ def _hash_sets(words: int):
     return run
 
 
+def _candidates(group: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): of a square the pairs across components that neither sizes nor registers rule out."""
+    label, n, regs, block = (group[k] for k in ("label", "n_shingles", "registers", "block"))
+    same = group["row"][0] == group["col"][0]
+    band, bands = int(group["key"][0] >> 32), np.ascontiguousarray(regs).view(np.uint32)
+    for i in np.flatnonzero(block == group["row"][0]):
+        right = np.arange(i + 1, len(n)) if same else np.flatnonzero(block == group["col"][0])
+        right = right[label[right] != label[i]]
+        right = right[np.minimum(n[right], n[i]) >= (similarity - 1e-9) * np.maximum(n[right], n[i])]
+        # a pair counts in the first band that it shares
+        right = right[~(bands[i, :band] == bands[right, :band]).any(axis=1)]
+        if not len(right):
+            continue
+        more, less = (regs[i] > regs[right]).sum(1), (regs[i] < regs[right]).sum(1)
+        right = right[plausible(more, less, np.full(len(right), float(n[i])), n[right].astype(float), similarity)]
+        if len(right):
+            yield i, right
+
+
+def _possible(percent: int):
+    """The members of squares that have a candidate there: rows sorted by (key, row, col, rep) in and out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, squares in _squares(batches):
+            keep = np.zeros(table.num_rows, dtype=bool)
+            for at, group in squares:
+                for i, others in _candidates(group, percent / 100):
+                    keep[at + i] = keep[at + others] = True
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
 def _compare(percent: int):
-    """Pairs across components within squares of a bucket: rows sorted by (key, row, col) in, (a, b) out.
+    """Pairs across components within squares of a bucket: rows sorted by (key, row, col, rep) in, (a, b) out.
 
-    Registers rule out most pairs, then the hashed sets all but the links and
-    the few pairs that short hashes make look alike.
+    The hashed sets rule out all but the links and the few pairs that short
+    hashes make look alike.
     """
-    similarity = percent / 100
 
     def square(group: dict[str, np.ndarray]) -> np.ndarray:
-        ids, label, n, regs, block, hashes = (group[k] for k in ("rep", "label", "n_shingles", "registers", "block", "hashes"))
-        same = group["row"][0] == group["col"][0]
-        left = np.flatnonzero(block == group["row"][0])
-        band, bands = int(group["key"][0] >> 32), np.ascontiguousarray(regs).view(np.uint32)
+        ids, n, hashes = (group[k] for k in ("rep", "n_shingles", "hashes"))
         out = []
-        for i in left:
-            right = np.arange(i + 1, len(ids)) if same else np.flatnonzero(block == group["col"][0])
-            right = right[label[right] != label[i]]
-            right = right[np.minimum(n[right], n[i]) >= (similarity - 1e-9) * np.maximum(n[right], n[i])]
-            # a pair counts in the first band that it shares
-            right = right[~(bands[i, :band] == bands[right, :band]).any(axis=1)]
-            if not len(right):
-                continue
-            more, less = (regs[i] > regs[right]).sum(1), (regs[i] < regs[right]).sum(1)
-            right = right[plausible(more, less, np.full(len(right), float(n[i])), n[right].astype(float), similarity)]
-            if not len(right):
-                continue
+        for i, right in _candidates(group, percent / 100):
             sets = [np.frombuffer(hashes[k], dtype=np.uint32) for k in right]
             own, all_ = np.frombuffer(hashes[i], dtype=np.uint32), np.concatenate(sets)
             met = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
@@ -288,32 +306,41 @@ def _compare(percent: int):
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            keys = np.stack([np.asarray(rest.column(c)) for c in ("key", "row", "col")], axis=1)
-            turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if len(turns):
-                yield from _squares(rest.slice(0, int(turns[-1])), turns[:-1], square)
-                rest = rest.slice(int(turns[-1]))
-        if rest is not None and rest.num_rows:
-            yield from _squares(rest, np.zeros(0, np.int64), square)
+        for _, squares in _squares(batches):
+            for _, group in squares:
+                pairs = square(group)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
-def _squares(table: pa.Table, turns: np.ndarray, square) -> Iterator[pa.RecordBatch]:
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Iterator[tuple[int, dict[str, np.ndarray]]]]]:
+    """(rows, their squares by first row and columns) of rows that come sorted; no square is cut."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        keys = np.stack([np.asarray(rest.column(c)) for c in ("key", "row", "col")], axis=1)
+        turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        if len(turns):
+            whole = rest.slice(0, int(turns[-1]))
+            yield whole, _cut(whole, turns[:-1])
+            rest = rest.slice(int(turns[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest, _cut(rest, np.zeros(0, np.int64))
+
+
+def _cut(table: pa.Table, turns: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     columns = {c: np.asarray(table.column(c)) for c in ("key", "row", "col", "block", "rep", "label", "n_shingles")}
     columns["registers"] = _matrix(table.column("registers").combine_chunks())
-    columns["hashes"] = np.array(table.column("hashes").to_pylist(), dtype=object)
+    if "hashes" in table.column_names:
+        columns["hashes"] = np.array([*table.column("hashes").to_pylist(), None], dtype=object)[:-1]
     bounds = [0, *turns.tolist(), table.num_rows]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        pairs = square({k: v[a:b] for k, v in columns.items()})
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        yield a, {k: v[a:b] for k, v in columns.items()}
 
 
 def shingles(text: str, words: int = 2) -> frozenset:
@@ -408,22 +435,29 @@ def _links(scratch: Scratch, texts: DataFrame, nodes: DataFrame, words: int, per
     star = scratch.table(star, "tried-1")
     links = links.union(scratch.table(_confirmed(texts, star, words, percent), "links-1"))
 
-    # last, in buckets that still do, all pairs across components
+    # last, in buckets that still do, all pairs across components: by registers, then by the hashed sets of those that these leave a partner
     mixed = _mixed(scratch, mixed.select("key", "rep", "members"), components(scratch, links, "labels-1"), "mixed-2")
-    asked = _texts_of(texts, mixed.select(F.col("rep").alias("doc_id")).distinct()).select(F.col("doc_id").alias("rep"), "text")
-    sets = asked.mapInArrow(_hash_sets(words), "rep long, hashes binary")
-    rows = mixed.join(sets, "rep").join(nodes.select("rep", "n_shingles", "registers"), "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rows = mixed.join(nodes.select("rep", "n_shingles", "registers"), "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "rep", "label", "n_shingles", "registers", "hashes")
-    dealt = rows.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col", "rep")
-    across = dealt.mapInArrow(_compare(percent), "a long, b long").distinct().join(tried.union(star), ["a", "b"], "left_anti")
+    rows = rows.select("key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "rep", "label", "n_shingles", "registers")
+    possible = scratch.table(_dealt(rows).mapInArrow(_possible(percent), rows.schema), "possible")
+    if possible.isEmpty():
+        return links
+    asked = _texts_of(texts, possible.select(F.col("rep").alias("doc_id")).distinct()).select(F.col("doc_id").alias("rep"), "text")
+    sets = asked.mapInArrow(_hash_sets(words), "rep long, hashes binary")
+    across = _dealt(possible.join(sets, "rep")).mapInArrow(_compare(percent), "a long, b long").distinct().join(tried.union(star), ["a", "b"], "left_anti")
     across = scratch.table(across, "tried-2")
     if across.isEmpty():
         return links
     return links.union(scratch.table(_confirmed(texts, across, words, percent), "links-2"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by squares, whole ones to a task."""
+    return rows.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col", "rep")
+
+
 def _mixed(scratch: Scratch, members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """(key, rep, members, label): the members of buckets that hold several components."""
     labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

@@ -76,6 +76,18 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_hash_sets_are_made_where_registers_leave_a_partner(spark, monkeypatch):
+    """Texts that share buckets by chance alone aren't read again, and those that may be alike are."""
+    asked, texts_of = [], minhash._texts_of
+    monkeypatch.setattr(minhash, "_texts_of", lambda texts, ids: asked.append(ids.count()) or texts_of(texts, ids))
+    chance = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(chance + [f"u{i}x{k}" for k in range(40)])) for i in range(60)]
+    assert found(spark, rows) == brute(rows)
+    assert not any(asked)
+    rows += [(100 + i, " ".join([f"n{k}" for k in range(60)] + [f"m{i}x{k}" for k in range(12 + i % 3)])) for i in range(12)]  # just below 0.8
+    assert found(spark, rows) == brute(rows)
+
+
 def test_long_texts_and_words(monkeypatch):
     text = " ".join(["ab", "c" * 200, "D", "é"] * 30)
     batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "", "b", " a  b ", "x y z x y", text, "A\tb\n"]})
