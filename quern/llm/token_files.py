@@ -40,7 +40,8 @@ def write_shard(uri: str, ids: np.ndarray, doc_ids: pa.Array, lengths: list[int]
     rows = -(-len(ids) // sequence)
     padded = np.zeros(rows * sequence, dtype=ids.dtype)
     padded[: len(ids)] = ids
-    mask = np.arange(rows * sequence) < len(ids)
+    mask = np.zeros(rows * sequence, dtype=bool)
+    mask[: len(ids)] = True
     table = pa.table({
         "input_ids": pa.FixedSizeListArray.from_arrays(pa.array(padded), sequence),
         "mask": pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence),
@@ -97,14 +98,16 @@ def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, shard_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = tokens.encoder(path, kind, CACHED_WORDS), TaskContext.get().partitionId(), 0
         width = np.uint16 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else np.uint32
-        end = np.asarray([end_id], dtype="<u4").tobytes()
-        parts: list[bytes] = []
+        end = np.asarray([end_id], dtype=width)
+        parts: list[np.ndarray] = []
         doc_ids, lengths, held = [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal parts, doc_ids, lengths, held, number
             uri = f"{folder}/shard-{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrow"
-            write_shard(uri, np.frombuffer(b"".join(parts), dtype="<u4").astype(width), pa.array(doc_ids, id_type), lengths, sequence)
+            whole = np.concatenate(parts)
+            parts.clear()  # before the shard takes room of its own
+            write_shard(uri, whole, pa.array(doc_ids, id_type), lengths, sequence)
             row = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "uri": [uri], "n_tokens": [held]})
             parts, doc_ids, lengths, held, number = [], [], [], 0, number + 1
             return row
@@ -112,7 +115,7 @@ def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, shard_
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch)), strict=True):
-                parts += [ids, end]
+                parts += [np.frombuffer(ids, dtype="<u4").astype(width), end]
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)
                 held += lengths[-1]

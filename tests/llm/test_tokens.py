@@ -1,7 +1,9 @@
 """Tokenizers' ids, shards on disk and packing: exact round trips."""
 
 import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,24 @@ def test_files_round_trip(spark):
     assert token_files.token_files(spark, documents(spark, []), tokens.public(BYTE[0])).collect() == []
 
 
+def test_a_shard_in_the_making_takes_few_bytes_a_token(tmp_path, monkeypatch):
+    """Its ids twice and its mask, in 16 bits and 8; larger copies add up over the tasks of an executor."""
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": ["two words " * 5000] * 100})
+    run = token_files._write(f"file://{tmp_path}", tokens.public(BYTE[0]), "byte", 2, 2048, 1 << 30)
+    list(run(iter([batch.slice(0, 1)])))  # loads the tokenizer
+    tracemalloc.start()
+    (row,) = list(run(batch.slice(i, 1) for i in range(100)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = row.column("n_tokens")[0].as_py()
+    assert n > 900_000 and peak < 8 * n, peak
+    shard = token_files.Shard(row.column("uri")[0].as_py())
+    end = np.asarray([2], "<u4").tobytes()
+    assert shard.document(99).astype("<u4").tobytes() == library_ids(BYTE[0], "two words " * 5000) + end
+    shard.close()
+
+
 @pytest.mark.parametrize("width", [np.uint16, np.uint32])
 def test_a_shards_rows_are_views(tmp_path, width):
     ids = np.arange(1000, dtype=width)
