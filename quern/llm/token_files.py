@@ -24,7 +24,7 @@ from quern.llm.common import Scratch, prepare, texts
 SEQUENCE = 2048
 # Tokens after which a shard is closed, at the end of a document.
 SHARD_TOKENS = 1 << 23
-# Words that a worker's encoder remembers: some 200 MB.
+# Pieces of words that a worker's encoder remembers: some 65 MB.
 CACHED_WORDS = 400_000
 _ROWS_A_BATCH = 256
 
@@ -186,5 +186,7 @@ def read_token_files(spark: SparkSession, shards: DataFrame, id_type: str = "lon
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", **options) -> DataFrame:
     """Write all documents as shards into the shared folder and read them back."""
     scratch = Scratch(spark, "tokens")
-    shards = scratch.table(write_token_files(spark, docs, f"{scratch.path}/files", tokenizer, id_col=id_col, **options), "shards")
+    written = write_token_files(spark, docs, f"{scratch.path}/files", tokenizer, id_col=id_col, **options)
+    # The list is small: by `part`, rows of a task that runs again stay together, and adaptive execution makes few files of it.
+    shards = scratch.table(written.repartition("part"), "shards")
     return read_token_files(spark, shards, docs.schema[id_col].dataType.simpleString())

@@ -1,8 +1,10 @@
 """Tokenizers' ids, shards on disk and packing: exact round trips."""
 
 import random
+import sys
 import tracemalloc
 import zlib
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -17,6 +19,7 @@ from hypothesis import strategies as st  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from quern.llm import packing, token_files, tokens  # noqa: E402
+from quern.llm.common import Scratch  # noqa: E402
 
 BYTE, WORD = ("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")
 TEXTS = [
@@ -54,6 +57,33 @@ def test_any_text(text):
         assert list(encoder.encode([text])) == [library_ids(name, text)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aBé \n\t'.²\xa0\x1cstmdrevl語", "'ll", "'re", "'ve", "  ", "\r\n", "<|endoftext|>"]), max_size=12).map("".join), max_size=8))
+def test_many_texts_at_once(encoder, texts):
+    name, encoder = encoder
+    assert list(encoder.encode(texts)) == [library_ids(name, t) for t in texts]
+
+
+def test_texts_are_cut_in_groups(monkeypatch):
+    monkeypatch.setattr(tokens, "_CHARS_AT_ONCE", 20)
+    encoder = tokens.Encoder(tokens.public(BYTE[0]), BYTE[1], 8)
+    assert list(encoder.encode(iter(TEXTS * 2))) == [library_ids(BYTE[0], t) for t in TEXTS * 2] and len(encoder.pieces) <= 8
+
+
+def test_new_words_of_known_pieces_cost_no_calls():
+    """In the byte kind Python runs for each different piece, not for each different word or text."""
+    encoder = tokens.Encoder(tokens.public(BYTE[0]), BYTE[1])
+    words = [a * n + mark * m for a in "abcde" for n in range(1, 21) for mark in ".,!-" for m in range(1, 11)]
+    text, calls = " ".join(words), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        (ids,) = encoder.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert ids == library_ids(BYTE[0], text)
+    assert len(set(words)) == 4000 and len(calls) < 1000, len(calls)
+
+
 def test_caches_are_bounded():
     cache = tokens._Cache(str.encode, 10)
     assert [cache[str(i % 25)] for i in range(100)] == [str(i % 25).encode() for i in range(100)]
@@ -80,6 +110,16 @@ def test_files_round_trip(spark):
     assert token_files.token_files(spark, documents(spark, []), tokens.public(BYTE[0])).collect() == []
 
 
+def test_the_list_of_shards_is_one_file(spark):
+    """Each file that Spark makes in a local folder starts three processes beside an executor."""
+    rows = [(i, f"text {i}", None, None) for i in range(100)]
+    found = token_files.token_files(spark, documents(spark, rows), tokens.public(BYTE[0]), kind="byte", end_id=2)
+    scratch = Scratch.open[-1].path.removeprefix("file://")
+    assert len(list(Path(scratch, "files").glob("*.arrow"))) == 4 and len(list(Path(scratch, "shards").glob("*.parquet"))) == 1
+    starts = [r["start"] for r in found.orderBy("doc_id").collect()]
+    assert starts == np.cumsum([0, *(len(library_ids(BYTE[0], t)) // 4 + 1 for _, t, *_ in rows[:-1])]).tolist()
+
+
 def test_a_shard_in_the_making_takes_few_bytes_a_token(tmp_path, monkeypatch):
     """Its ids twice and its mask, in 16 bits and 8; larger copies add up over the tasks of an executor."""
     monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
