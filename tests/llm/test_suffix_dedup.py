@@ -1,13 +1,16 @@
 """Repeated strings against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("quern.llm.queries")
 
-from quern.llm import suffix_dedup  # noqa: E402
+from quern.llm import queries, suffix_dedup  # noqa: E402
 
 
 def brute(rows, length):
@@ -75,6 +78,31 @@ def test_clashing_columns(spark):
     assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], [(s["from"], s["to"]) for s in r["spans"]]) for r in got.collect()), key=str) == brute(rows, 16)
 
 
+def test_planted_passages(spark, tmp_path):
+    """The query at its own length, on passages of over 50 words: they go from 400 bytes on and stay below, whatever `n_bytes` is."""
+    chance = random.Random(14)
+
+    def words(n, size):
+        return " ".join("".join(chance.choices("abcdefgé", k=size)) for _ in range(n))
+
+    def own():
+        return words(chance.randint(5, 150), 6)
+
+    long, short = words(55, 8), words(55, 5)
+    assert len(long.encode()) >= 400 > len(short.encode()) + 20
+    texts = [f"{own()} {long} {own()}" for _ in range(12)] + [f"{own()} {short} {own()}" for _ in range(12)] + [own() for _ in range(12)]
+    texts += [f"{own()} {long} {own()} {short}", f"{own()} {short} {own()} {short} {own()}", None, "", long]
+    rows = list(enumerate(texts))
+    pq.write_table(pa.table({"doc_id": [d for d, _ in rows], "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_suffix_dedup"](spark, str(tmp_path)).collect()}
+    for d, kept, n_bytes, spans in brute(rows, 400):
+        removed, r = sum(z - a for a, z in spans), got.pop(d)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n_bytes, removed, len(spans), hashlib.sha256(kept).hexdigest())
+        holds = long in (texts[d] or "")
+        assert n_bytes == len((texts[d] or "").encode()) and (removed >= len(long.encode())) == holds and (removed > 0) == holds
+    assert not got
+
+
 def test_anchors_in_blocks(monkeypatch):
     chance = np.random.default_rng(3)
     raw = chance.integers(0, 3, 5000).astype(np.uint8)
